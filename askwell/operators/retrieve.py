@@ -108,6 +108,11 @@ def _search_broadcast(q: DataFrame, p: DataFrame, k: int, decode: Callable[[pd.S
     return p.mapInPandas(scan, PARTIAL)
 
 
+def _numbers(n: int) -> Column:
+    """``0 .. n-1`` as an array of longs."""
+    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+
+
 def _search_grid(
     q: DataFrame, p: DataFrame, k: int, decode: Callable[[pd.Series], np.ndarray], q_blocks: int, p_blocks: int
 ) -> DataFrame:
@@ -115,12 +120,12 @@ def _search_grid(
     q_blocks, p_blocks = max(q_blocks, 1), max(p_blocks, 1)
     left = (
         q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(q_blocks)))
-        .withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(p_blocks - 1))).cast("long"))
+        .withColumn("pb", F.explode(_numbers(p_blocks)))
         .groupBy("qb", "pb")
     )
     right = (
         p.withColumn("pb", F.pmod(F.xxhash64("pid"), F.lit(p_blocks)))
-        .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).cast("long"))
+        .withColumn("qb", F.explode(_numbers(q_blocks)))
         .groupBy("qb", "pb")
     )
 
@@ -159,19 +164,24 @@ def subvector(vector: Column, part: int, width: int) -> Column:
 
 
 def train_codebook(
-    passages: DataFrame, m: int, bits: int, first_batch: int = 1_000_000, order: str = "pid", seed: int = 7
+    passages: DataFrame, m: int, bits: int, first_batch: int = 1_000_000, order: str = "pid", seed: int = 7, iterations: int = 8
 ) -> DataFrame:
     """Centroids ``(part, code, centroid)`` per sub-vector, learnt on the first batch of rows."""
     dim = passages.select(F.size("embedding").alias("d")).first()["d"]
     if dim % m:
         raise ValueError(f"{dim} dimensions do not split into {m} parts")
     width = dim // m
-    batch = with_position(passages, order, name="__pos").filter(F.col("__pos") <= first_batch)
+    batch = passages
+    if passages.count() > first_batch:
+        batch = with_position(passages, order, name="__pos").filter(F.col("__pos") <= first_batch)
+    parts = [array_to_vector(subvector(F.col("embedding"), i, width)).alias(f"part{i}") for i in range(m)]
+    batch = batch.select(*parts).persist()  # read once per iteration and part
     books = []
     for part in range(m):
-        points = batch.select(array_to_vector(subvector(F.col("embedding"), part, width)).alias("features"))
-        model = KMeans(k=2**bits, seed=seed + part, maxIter=10).fit(points)
-        books += [(part, code, [float(x) for x in centre]) for code, centre in enumerate(model.clusterCenters())]
+        means = KMeans(k=2**bits, seed=seed + part, maxIter=iterations, initMode="random", featuresCol=f"part{part}")
+        centres = means.fit(batch).clusterCenters()
+        books += [(part, code, [float(x) for x in centre]) for code, centre in enumerate(centres)]
+    batch.unpersist()
     return passages.sparkSession.createDataFrame(books, "part int, code int, centroid array<double>")
 
 

@@ -8,13 +8,18 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 1 << 16
 TILE = 1 << 22
 
 
+def _numbers(n: int) -> Column:
+    """``0 .. n-1`` as an array of longs."""
+    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+
+
 def weighted_mean(stats: DataFrame, name: str = "name", value: str = "value", weight: str = "weight") -> DataFrame:
     """Weighted mean, total weight, plain mean and sum of each named value."""
     total = F.sum(weight)
@@ -87,13 +92,13 @@ def negative_logits(
     left = (
         pairs.select("id", "q")
         .withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(q_blocks)))
-        .withColumn("nb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("long"))
+        .withColumn("nb", F.explode(_numbers(n_blocks)))
         .groupBy("qb", "nb")
     )
     right = (
         negatives.select("id", "embedding")
         .withColumn("nb", F.pmod(F.xxhash64("id"), F.lit(n_blocks)))
-        .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).cast("long"))
+        .withColumn("qb", F.explode(_numbers(q_blocks)))
         .groupBy("qb", "nb")
     )
 

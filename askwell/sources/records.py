@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions import fixed
 from ..operators.ordering import with_position
 
+TSV = {"sep": "\t", "quote": '"', "escape": '"'}
 PASSAGE = T.StructType(
     [T.StructField("id", T.StringType()), T.StructField("title", T.StringType()), T.StructField("text", T.StringType())]
 )
@@ -73,23 +74,27 @@ def read_passages(spark: SparkSession, path: str) -> DataFrame:
     """``id, title, text`` from TSV (id, text, title) without its header row, or from JSON lines."""
     if path.endswith(".jsonl"):
         return spark.read.schema(PASSAGE).json(path)
-    rows = (
-        spark.read.schema(PASSAGE_TSV)
-        .option("sep", "\t")
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", True)
-        .csv(path)
-    )
+    rows = spark.read.schema(PASSAGE_TSV).options(**TSV, multiLine=True).csv(path)
     return rows.filter(F.col("id") != "id").select("id", "title", "text")
 
 
-def read_tsv_header(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_tsv_header(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Tab-separated file whose first row names the columns."""
-    reader = spark.read.option("sep", "\t").option("header", True).option("quote", '"').option("escape", '"')
+    reader = spark.read.options(**TSV, header=True, multiLine=True)
     return (reader if schema is None else reader.schema(schema)).csv(path)
 
 
+def write_tsv(df: DataFrame, path: str) -> None:
+    """Tab-separated sink with a header row, every value quoted."""
+    plain = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(**TSV, **plain, header=True, quoteAll=True).csv(path)
+
+
+def write_passages(df: DataFrame, path: str) -> None:
+    """Passage file in the column order ``read_passages`` expects."""
+    write_tsv(df.select("id", "text", "title"), path)
+
+
 def read_embeddings(spark: SparkSession, glob: str) -> DataFrame:
     """Vector shards matched by a glob, as one table."""
     return spark.read.parquet(glob)
