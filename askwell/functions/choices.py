@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bind
+
 # Numbered choice labels and their letters.
 LETTERS = {"1": "A", "2": "B", "3": "C", "4": "D", "5": "E"}
 
@@ -27,12 +29,14 @@ def choice_lines(choices: Column) -> Column:
         F.transform(pairs, lambda p: F.struct(letter(p["label"]).alias("key"), p["text"].alias("text"))),
         lambda p: p["key"].isNotNull(),
     )
-    keys = F.array_distinct(F.transform(known, lambda p: p["key"]))
-    lines = F.transform(
-        keys,
-        lambda k: F.concat(k, F.lit(": "), F.element_at(F.filter(known, lambda p: p["key"] == k), -1)["text"]),
-    )
-    return F.array_join(lines, "\n")
+
+    def lines(known: Column) -> Column:
+        return F.transform(
+            F.array_distinct(F.transform(known, lambda p: p["key"])),
+            lambda k: F.concat(k, F.lit(": "), F.element_at(F.filter(known, lambda p: p["key"] == k), -1)["text"]),
+        )
+
+    return F.array_join(bind(known, lines), "\n")
 
 
 def format_choices(

@@ -93,14 +93,17 @@ def entity_tags(sentence: Column) -> Column:
         F.arrays_zip(names.alias("name"), tags.alias("tag")),
         lambda p: p["name"].isNotNull() & p["tag"].isNotNull(),
     )
-    last = F.filter(
-        F.transform(pairs, lambda p, i: F.struct(p["name"].alias("name"), p["tag"].alias("tag"), i.alias("at"))),
-        lambda p: ~F.exists(
-            F.transform(pairs, lambda o, j: F.struct(o["name"].alias("name"), j.alias("at"))),
-            lambda o: (o["name"] == p["name"]) & (o["at"] > p["at"]),
-        ),
-    )
-    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["name"], p["tag"])))
+
+    def last_wins(pairs: Column) -> Column:
+        kept = F.filter(
+            pairs,
+            lambda p, i: ~F.exists(
+                F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["name"] == p["name"]
+            ),
+        )
+        return F.map_from_entries(kept)
+
+    return bind(pairs, last_wins)
 
 
 def closed_answer(output: Column, task: str, choices: Column | None = None) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.match import answer_runs, passage_has_answer
-from ..functions.text import answer_words
+from ..functions.text import answer_words, bind
 
 ROUGE_TYPES = ("rouge1", "rouge2", "rougeL", "rougeLsum")
 
@@ -166,8 +166,12 @@ def ngrams(tokens: Column, n: int) -> Column:
     """Contiguous token runs of length ``n``."""
     if n == 1:
         return tokens
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(tokens) - n, F.lit(0))), lambda i: i + n <= F.size(tokens))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i + 1, F.lit(n)), " "))
+
+    def runs(t: Column) -> Column:
+        starts = F.slice(F.sequence(F.lit(1), F.size(t) + 1), F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(0)))
+        return F.transform(starts, lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "))
+
+    return bind(tokens, runs)
 
 
 def rouge_n(df: DataFrame, key: str, prediction: str, reference: str, n: int) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import parse_status, section_rows, strip_space
+from ..session import written
 
 MIN_TEXT = 3
 MIN_QUOTE = 15
@@ -60,8 +61,16 @@ def gate_fold(statuses: Column) -> Column:
     return F.aggregate(statuses, start, step, lambda s: F.struct(s["outcome"].alias("outcome"), s["majority"].alias("majority")))
 
 
+def gather_answers(parsed: DataFrame) -> DataFrame:
+    """``qid, outcome, majority, answers`` per question; one entry per teacher."""
+    entries = F.array_sort(F.collect_list(F.struct("teacher_ord", "status", "rows")))
+    grouped = parsed.groupBy("qid").agg(entries.alias("answers"))
+    gate = gate_fold(F.transform("answers", lambda a: a["status"]))
+    return grouped.withColumn("gate", gate).select("qid", "gate.outcome", "gate.majority", "answers")
+
+
 def teacher_gate(parsed: DataFrame) -> DataFrame:
-    """``qid, outcome, majority`` per question; one status per teacher."""
+    """``qid, outcome, majority`` per question."""
     ordered = F.array_sort(F.collect_list(F.struct("teacher_ord", "status")))
     gate = parsed.groupBy("qid").agg(gate_fold(F.transform(ordered, lambda s: s["status"])).alias("gate"))
     return gate.select("qid", "gate.outcome", "gate.majority")
@@ -335,13 +344,18 @@ def render_exemplar(kept: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def consolidate(contexts: DataFrame, answers: DataFrame, mode: str = "lcs", strict_compat: bool = False) -> DataFrame:
-    """``qid, exemplar`` per question; questions with too few usable answers are dropped."""
-    parsed = parse_answers(answers, strict_compat)
-    gate = teacher_gate(parsed)
-    usable = parsed.filter(F.col("status") == "parsed").join(
-        gate.filter(F.col("outcome") == "open").select("qid"), "qid", "left_semi"
+    """``qid, exemplar`` per question; questions with too few usable answers are dropped.
+
+    Parsed answers and spans are each needed several times and written once.
+    """
+    gathered = written(gather_answers(parse_answers(answers, strict_compat)), "answers")
+    gate = gathered.select("qid", "outcome", "majority")
+    usable = (
+        gathered.filter(F.col("outcome") == "open")
+        .select("qid", F.inline("answers"))
+        .filter(F.col("status") == "parsed")
     )
-    spans = quote_spans(match_quotes(usable, contexts), mode)
+    spans = written(quote_spans(match_quotes(usable, contexts), mode), "spans")
     votes = vote_counts(spans)
     kept = majority_span(votes, gate, contexts)
     grouped = context_votes(kept, peak_voters(votes, spans)).join(gate.select("qid", "majority"), "qid")

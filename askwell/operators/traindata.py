@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_text, uniform
+from ..functions.text import bind, normalize_text, uniform
 from .ordering import running_total, with_position
 from .prepare import passage_text
 
@@ -134,12 +134,12 @@ def batch_layout(triples: DataFrame, size: int, order: str) -> DataFrame:
 
 def chunk_tokens(tokens: Column, length: int, offset: int = 0) -> Column:
     """Chunks of one array after ``offset``; the short tail is dropped."""
-    n = F.floor((F.size(tokens) - offset) / F.lit(length)).cast("int")
-    chunks = F.transform(
-        F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
-        lambda i: F.slice(tokens, i * length + offset + 1, F.lit(length)),
-    )
-    return F.slice(chunks, F.lit(1), F.greatest(n, F.lit(0)))
+    def chunks(t: Column) -> Column:
+        n = F.floor((F.size(t) - offset) / F.lit(length)).cast("int")
+        starts = F.slice(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), F.lit(1), F.greatest(n, F.lit(0)))
+        return F.transform(starts, lambda i: F.slice(t, i * length + offset + 1, F.lit(length)))
+
+    return bind(tokens, chunks)
 
 
 def random_offset(length: int, seed: int = 0) -> Column:
@@ -217,34 +217,26 @@ def augment_mask(tokens: Column, key: Column, mask_id: int, p: float = 0.1, seed
     return F.transform(tokens, lambda x, i: F.when(_keep(key, i, p, seed), x).otherwise(F.lit(mask_id)))
 
 
-def augment_shuffle(df: DataFrame, key: str, p: float = 0.1, seed: int = 0, tokens: str = "tokens") -> DataFrame:
+def augment_shuffle(tokens: Column, key: Column, p: float = 0.1, seed: int = 0) -> Column:
     """Permute a binomial number of a row's tokens among their places."""
-    k = F.col(key).cast("string")
 
-    def drawn(tag: str) -> Column:
-        return F.array_sort(
-            F.transform(tokens, lambda x, i: F.struct(uniform(f"{seed}|{tag}", k, i).alias("u"), i.alias("i")))
-        )
+    def dealt(places: Column, tag: str) -> Column:
+        keyed = F.transform(places, lambda i: F.struct(uniform(f"{seed}|{tag}", key, i).alias("u"), i.alias("i")))
+        return F.transform(F.array_sort(keyed), lambda e: e["i"])
 
-    count = F.size(F.filter(F.transform(tokens, lambda x, i: uniform(f"{seed}|count", k, i)), lambda u: u < p))
-    to = F.transform(F.slice(drawn("place"), F.lit(1), count), lambda e: e["i"])
-    source = F.transform(
-        F.array_sort(
-            F.transform(F.col("__to"), lambda i: F.struct(uniform(f"{seed}|deal", k, i).alias("u"), i.alias("i")))
-        ),
-        lambda e: e["i"],
-    )
-    moves = F.map_from_arrays(F.col("__to"), F.col("__from"))
-    moved = F.transform(
-        F.col(tokens), lambda x, i: F.get(F.col(tokens), F.coalesce(F.try_element_at(F.col("__moves"), i), i))
-    )
-    return (
-        df.withColumn("__to", to)
-        .withColumn("__from", source)
-        .withColumn("__moves", moves)
-        .withColumn(tokens, moved)
-        .drop("__to", "__from", "__moves")
-    )
+    def shuffled(t: Column) -> Column:
+        places = F.transform(t, lambda x, i: i)
+        count = F.size(F.filter(places, lambda i: uniform(f"{seed}|count", key, i) < p))
+
+        def swapped(to: Column) -> Column:
+            moves = F.map_from_arrays(to, dealt(to, "deal"))
+            return bind(
+                moves, lambda m: F.transform(t, lambda x, i: F.get(t, F.coalesce(F.try_element_at(m, i), i)))
+            )
+
+        return bind(F.slice(dealt(places, "place"), F.lit(1), count), swapped)
+
+    return bind(tokens, shuffled)
 
 
 def add_bos_eos(tokens: Column, bos: int | None, eos: int | None) -> Column:
@@ -351,24 +343,31 @@ def mask_between(df: DataFrame, open_id: int, close_id: int, labels: str = "labe
     everything up to the final token is ignored.
     """
 
-    def places(marker: int) -> Column:
-        at = F.transform(labels, lambda x, i: F.when((x == marker) & (i >= F.col(start)), i))
+    def places(values: Column, marker: int) -> Column:
+        at = F.transform(values, lambda x, i: F.when((x == marker) & (i >= F.col(start)), i))
         return F.filter(at, lambda i: i.isNotNull())
 
-    end = F.size(labels) - 1
-    staged = (
-        df.withColumn("__opens", places(open_id))
-        .withColumn("__open", F.array_min("__opens"))
-        .withColumn("__close", F.array_max(F.filter(places(close_id), lambda i: i >= F.col("__open"))))
-        .withColumn("__again", F.array_min(F.filter("__opens", lambda i: i > F.col("__close"))))
-    )
+    def bounds(values: Column) -> Column:
+        opens, closes = places(values, open_id), places(values, close_id)
+        first = F.array_min(opens)
+        close = bind(first, lambda o: F.array_max(F.filter(closes, lambda i: i >= o)))
+        again = bind(close, lambda c: F.array_min(F.filter(opens, lambda i: i > c)))
+        return F.struct(
+            first.alias("open"), close.alias("close"), again.alias("again"), (F.size(values) - 1).alias("end")
+        )
 
-    def inside(i: Column) -> Column:
-        first = (i > F.col("__open")) & (i < F.coalesce(F.col("__close"), end))
-        return F.coalesce(first, F.lit(False)) | F.coalesce((i > F.col("__again")) & (i < end), F.lit(False))
+    def hidden(b: Column, i: Column) -> Column:
+        one = (i > b["open"]) & (i < F.coalesce(b["close"], b["end"]))
+        two = (i > b["again"]) & (i < b["end"])
+        return F.coalesce(one, F.lit(False)) | F.coalesce(two, F.lit(False))
+
+    def masked(values: Column) -> Column:
+        return bind(
+            bounds(values),
+            lambda b: F.transform(values, lambda x, i: F.when(hidden(b, i), F.lit(IGNORED)).otherwise(x)),
+        )
 
-    masked = F.transform(labels, lambda x, i: F.when(inside(i), F.lit(IGNORED)).otherwise(x))
-    return staged.withColumn(labels, masked).drop("__opens", "__open", "__close", "__again")
+    return df.withColumn(labels, bind(F.col(labels), masked))
 
 
 def drop_fully_masked(df: DataFrame, labels: str = "labels") -> DataFrame:

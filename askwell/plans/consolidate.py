@@ -8,36 +8,41 @@ from pyspark.sql import functions as F
 from ..operators import consolidate as V
 from . import inputs as I
 from .registry import query
-from .text import PARSED
+from .text import PARSED, SQL_CUT
 
 CTX = """, ctx as (select doc_id as qid, line_no as ctx_pos, title || '-' || line_no as title, text from passages)"""
-# The only unusable answers of these tables are the empty one and one that reads as empty, so no answer is malformed here.
-GATE = """, gate as (select qid, case when count(*) filter (status = 'empty') >= 3 then 'empty' else 'open' end as outcome, 3 as majority
-  from (select a.qid, a.teacher_ord, case when p.qid is not null then 'parsed' else 'empty' end as status
-        from teacher_answers a left join (select distinct qid, teacher_ord from parsed) p using (qid, teacher_ord)) group by qid)"""
+GATE = f""", statuses as (select a.qid, a.teacher_ord, case when p.qid is not null then 'parsed'
+      when {SQL_CUT} = '' then 'empty' else 'malformed' end as status
+    from (select *, string_split(answer, chr(10) || chr(10)) as blocks from teacher_answers) a left join (select distinct qid, teacher_ord from parsed) p using (qid, teacher_ord)),
+  seen as (select *, count(*) filter (status = 'empty') over so_far as empties,
+      5 - count(*) filter (status = 'malformed') over so_far as n from statuses
+    window so_far as (partition by qid order by teacher_ord)),
+  gate as (select qid, coalesce(arg_min(case when status = 'empty' then 'empty' else 'dropped' end, teacher_ord) filter (
+      (status = 'empty' and empties >= (n + 1) // 2) or (status = 'malformed' and n <= 2)), 'open') as outcome,
+    ((min(n) + 1) // 2)::int as majority from seen group by qid)"""
 MATCHED = """, matched as (select q.qid, c.ctx_pos, q.teacher_ord, q.quote_ord, split_part(q.section, '.', 1)::int as section, q.quote, c.text
   from parsed q join ctx c on q.qid = c.qid and contains(c.title, q.title)
   where length(q.title) >= 3 and length(q.quote) >= 3 and q.section <> '*')"""
 VERBATIM = """, spans as (select qid, ctx_pos, teacher_ord, instr(text, quote) - 1 as s, instr(text, quote) - 1 + length(quote) as e, section, quote_ord
   from matched where contains(text, quote) and regexp_matches(quote, '[\\p{L}\\p{M}\\p{N}\\p{Pc}]'))"""
-VOTES = """, marks as (select distinct qid, ctx_pos, s as at from spans union select distinct qid, ctx_pos, e from spans),
-  pieces as (select qid, ctx_pos, at as s, lead(at) over (partition by qid, ctx_pos order by at) as e from marks),
+VOTES = """, marks as (select distinct qid, ctx_pos, s as mark from spans union select distinct qid, ctx_pos, e from spans),
+  pieces as (select qid, ctx_pos, mark as s, lead(mark) over (partition by qid, ctx_pos order by mark) as e from marks),
   votes as (select p.qid, p.ctx_pos, p.s, p.e, count(distinct t.teacher_ord) as votes from pieces p
             join spans t on t.qid = p.qid and t.ctx_pos = p.ctx_pos and t.s <= p.s and p.s < t.e where p.e is not null group by all)"""
 SPAN = f""", cuts as (select v.qid, v.ctx_pos, min(s) as s, max(e) as e from votes v join gate g on v.qid = g.qid
                      where outcome = 'open' and v.votes >= majority group by all),
   kept as (select * from (select c.qid, c.ctx_pos, c.title, {I.sql_strip("substr(c.text, s + 1, e - s)")} as quote
            from cuts join ctx c on c.qid = cuts.qid and c.ctx_pos = cuts.ctx_pos) where length(quote) >= 15)"""
-PEAK = """, peak as (select qid, ctx_pos, arg_min(s, (-votes * 1000000000 + s)) as at from votes group by all),
+PEAK = """, peak as (select qid, ctx_pos, arg_min(s, (-votes * 1000000000 + s)) as top_at from votes group by all),
   voters as (select t.qid, t.ctx_pos, t.teacher_ord, arg_max(section, quote_ord) as section from spans t
-             join peak p on t.qid = p.qid and t.ctx_pos = p.ctx_pos and s <= at and at < e group by all)"""
+             join peak p on t.qid = p.qid and t.ctx_pos = p.ctx_pos and s <= top_at and top_at < e group by all)"""
 PAIRS = """, members as (select v.* from voters v join kept k on v.qid = k.qid and v.ctx_pos = k.ctx_pos),
   pairs as (select a.qid, a.ctx_pos as a, b.ctx_pos as b, count(*) as votes, min(a.teacher_ord) as first
             from members a join members b on a.qid = b.qid and a.teacher_ord = b.teacher_ord and a.section = b.section and a.ctx_pos <> b.ctx_pos
-            group by all having count(*) >= 3)"""
+            group by all)"""
 SECTIONS = """, ordered as (select qid, ctx_pos, row_number() over (partition by qid order by ctx_pos) as step from (select distinct qid, ctx_pos from members)),
   mates as (select o.qid, o.step, o.ctx_pos, coalesce(list(p.b order by p.first, p.b) filter (p.b is not null), []) as mates
-            from ordered o left join pairs p on o.qid = p.qid and o.ctx_pos = p.a group by all),
+            from ordered o join gate g on g.qid = o.qid left join pairs p on o.qid = p.qid and o.ctx_pos = p.a and p.votes >= g.majority group by all),
   walk as (select qid, 0::bigint as step, 1 as major, []::bigint[] as done, []::varchar[] as labels from (select distinct qid from ordered)
     union all
     select qid, step, case when seen then major else major + 1 end,
@@ -62,17 +67,18 @@ def parsed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def spans(spark: SparkSession, sf: str) -> DataFrame:
-    return V.quote_spans(V.match_quotes(parsed(spark, sf), I.teacher_contexts(spark, sf)), "verbatim")
+    return I.written(V.quote_spans(V.match_quotes(parsed(spark, sf), I.teacher_contexts(spark, sf)), "verbatim"), "spans")
 
 
 def kept(spark: SparkSession, sf: str, voted: DataFrame) -> DataFrame:
     return V.majority_span(voted, V.teacher_gate(parsed(spark, sf)), I.teacher_contexts(spark, sf))
 
 
-def grouped(spark: SparkSession, sf: str) -> DataFrame:
-    s = spans(spark, sf)
+def grouped(spark: SparkSession, sf: str, s: DataFrame | None = None) -> DataFrame:
+    s = spans(spark, sf) if s is None else s
     voted = V.vote_counts(s)
-    return V.context_votes(kept(spark, sf, voted), V.peak_voters(voted, s)).withColumn("majority", F.lit(3))
+    majorities = V.teacher_gate(parsed(spark, sf)).select("qid", "majority")
+    return V.context_votes(kept(spark, sf, voted), V.peak_voters(voted, s)).join(majorities, "qid")
 
 
 @query("v01_teacher_gate", statement(select=" select qid, outcome, majority from gate"))
@@ -124,7 +130,7 @@ def v06(spark: SparkSession, sf: str) -> DataFrame:
     return V.peak_voters(V.vote_counts(s), s)
 
 
-@query("v07_section_pairs", statement(VERBATIM, VOTES, SPAN, PEAK, PAIRS, select=" select qid, a, b, votes::int as votes from pairs"))
+@query("v07_section_pairs", statement(VERBATIM, VOTES, SPAN, PEAK, PAIRS, select=" select qid, a, b, votes::int as votes from pairs where votes >= 3"))
 def v07(spark: SparkSession, sf: str) -> DataFrame:
     return V.section_pairs(grouped(spark, sf), 3)
 
@@ -139,15 +145,16 @@ def v08(spark: SparkSession, sf: str) -> DataFrame:
     statement(VERBATIM, VOTES, SPAN, PEAK, PAIRS, SECTIONS, EXEMPLARS, select=" select qid, md5(exemplar) as exemplar_md5 from rendered", recursive=True),
 )
 def v09(spark: SparkSession, sf: str) -> DataFrame:
-    rows = kept(spark, sf, V.vote_counts(spans(spark, sf)))
-    return V.render_exemplar(rows, V.assign_sections(grouped(spark, sf))).select("qid", F.md5("exemplar").alias("exemplar_md5"))
+    s = spans(spark, sf)
+    rows = kept(spark, sf, V.vote_counts(s))
+    return V.render_exemplar(rows, V.assign_sections(grouped(spark, sf, s))).select("qid", F.md5("exemplar").alias("exemplar_md5"))
 
 
 @query(
     "v10_consolidate",
     statement(
         VERBATIM, VOTES, SPAN, PEAK, PAIRS, SECTIONS, EXEMPLARS,
-        select=" select g.qid, md5(coalesce(exemplar, '')) as exemplar_md5 from gate g left join rendered r on r.qid = g.qid",
+        select=" select g.qid, md5(coalesce(exemplar, '')) as exemplar_md5 from gate g left join rendered r on r.qid = g.qid where outcome <> 'dropped'",
         recursive=True,
     ),
 )

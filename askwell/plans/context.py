@@ -131,7 +131,7 @@ SQL_FEVER = "'" + FEVER.replace("'", "''") + "'"
 def c10(spark: SparkSession, sf: str) -> DataFrame:
     turns = I.turns(spark, sf)
     choices = F.struct(F.array(F.lit("1"), F.lit("B")).alias("label"), F.col("answers").alias("text"))
-    prefixed = F.when(F.col("turn") > 2, F.concat(F.lit(FEVER), "question")).otherwise(F.col("question"))
+    prefixed = F.when(~F.col("turn").isin(0, 2), F.concat(F.lit(FEVER), "question")).otherwise(F.col("question"))
     prompt = C.build_question(
         prefixed, FEVER, F.when(F.col("turn") == 2, F.col("pred")), F.when(F.col("turn") == 0, choices)
     )
@@ -142,8 +142,8 @@ def c10(spark: SparkSession, sf: str) -> DataFrame:
     "c11_highlight_keyword",
     I.with_views(
         "passages",
-        then="""select id, md5(case when at > 0 then substr(text, 1, at - 1) || '**' || k || '**' || substr(text, at + length(k)) else text end) as text_md5
-        from (select id, text, k, instr(lower(text), lower(k)) as at from (select id, text, 'THE' as k from passages))""",
+        then="""select id, md5(case when hit > 0 then substr(text, 1, hit - 1) || '**' || k || '**' || substr(text, hit + length(k)) else text end) as text_md5
+        from (select id, text, k, instr(lower(text), lower(k)) as hit from (select id, text, 'THE' as k from passages))""",
     ),
 )
 def c11(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,18 +6,13 @@ same views for DuckDB.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import uniform
 from ..operators.retrieve import topk_inner_product
 from ..operators.traindata import word_ids
-from ..session import CHECKPOINT_SETTING
+from ..session import scratch, written  # noqa: F401
 
 TEACHERS = 5
 DEPTH = 20
@@ -27,17 +22,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder every executor can reach: below the cluster's checkpoint folder."""
-    folder = spark.conf.get(CHECKPOINT_SETTING, None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_SETTING} to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="askwell-")
-        atexit.register(shutil.rmtree, folder, True)
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
-
-
 def passages(spark: SparkSession, sf: str) -> DataFrame:
     """Every line of five or more characters of every document."""
     lines = table(spark, sf, "documents").select(

@@ -151,8 +151,11 @@ def t08(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL_SECTION = fixed.SECTION_PATTERN
-SQL_BODY = f"""regexp_replace({I.sql_strip("case when regexp_matches(blocks[-1], '^' || '" + SQL_SECTION + "') then answer "
-    "else array_to_string(blocks[:-2], chr(10) || chr(10)) end")}, '(</s>)+$', '')"""
+SQL_CUT = (
+    f"case when regexp_matches(blocks[-1], '^{SQL_SECTION}') then answer "
+    "else array_to_string(blocks[:-2], chr(10) || chr(10)) end"
+)
+SQL_BODY = f"regexp_replace({I.sql_strip(SQL_CUT)}, '(</s>)+$', '')"
 
 
 def sql_parsed(group: int) -> str:

@@ -1,9 +1,11 @@
-"""Session set-up used by the tests and the benchmark."""
+"""Session set-up and the shared scratch folder."""
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,18 +28,26 @@ def build_session(app: str = "askwell", cores: str = "*", shuffle_partitions: in
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and read it back.
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder every executor can reach: below the one the cluster names.
 
-    The folder is the one the cluster names; only a local session, where none
-    is named, gets a temporary one.
+    Only a local session, where none is named, gets a temporary one.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get(CHECKPOINT_SETTING, None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError(f"set {CHECKPOINT_SETTING} to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="askwell-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp"))
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get(CHECKPOINT_SETTING, None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_SETTING} to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="askwell-")
+        atexit.register(shutil.rmtree, folder, True)
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` computed once, as a table in the shared folder.
+
+    What reads it next gets column pruning, and a lost executor costs a
+    re-read instead of a recomputation.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
