@@ -309,8 +309,8 @@ def e22(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-# Questions are vectors, each key is the vector after it; 64 rows make a batch.
-PAIRS = """with numbered as (select vec_id, embedding::double[] as q, lead(embedding::double[], 1, embedding::double[]) over (order by vec_id) as k,
+# Questions are vectors, each key is the vector after it (the last one's, its own reversed); 64 rows make a batch.
+PAIRS = """with numbered as (select vec_id, embedding::double[] as q, lead(embedding::double[], 1, list_reverse(embedding::double[])) over (order by vec_id) as k,
   (row_number() over (order by vec_id) - 1) // 64 as batch from embeddings)"""
 SPREAD = "(select {key}, avg(sd) as {name} from (select {key}, dim, stddev_samp(x) as sd from (select batch, unnest({col}) as x, generate_subscripts({col}, 1) as dim from numbered) group by all) group by {key})"
 
@@ -319,7 +319,7 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
     e = I.vectors(spark, sf).select("vec_id", "embedding")
     after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("k"))
     return e.join(after, "vec_id", "left").select(
-        F.col("vec_id").alias("id"), F.col("embedding").alias("q"), F.coalesce("k", "embedding").alias("k")
+        F.col("vec_id").alias("id"), F.col("embedding").alias("q"), F.coalesce("k", F.reverse("embedding")).alias("k")
     )
 
 

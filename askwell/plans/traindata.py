@@ -118,8 +118,8 @@ def d05(spark: SparkSession, sf: str) -> DataFrame:
     "d05_chunk_stream",
     I.with_views(
         "token_rows",
-        then="""+ laid as (select token, row_number() over (order by doc_id, i) - 1 - 5 as at from token_rows)
-        select at // 256 as chunk, md5(string_agg(token::varchar, ',' order by at)) as ids_md5 from laid where at >= 0 group by 1 having count(*) = 256""",
+        then="""+ laid as (select token, row_number() over (order by doc_id, i) - 1 - 5 as place from token_rows)
+        select place // 256 as chunk, md5(string_agg(token::varchar, ',' order by place)) as ids_md5 from laid where place >= 0 group by 1 having count(*) = 256""",
     ),
 )
 def d05_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -224,11 +224,11 @@ def d11(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "d12_sample_mixture",
-    f"""with {WEIGHTS}, sets as (select source, n, sum(p) over (order by source) as upto, row_number() over (order by source) as at from weights),
+    f"""with {WEIGHTS}, sets as (select source, n, sum(p) over (order by source) as upto, row_number() over (order by source) as nr from weights),
         draws as (select range as draw, {I.sql_uniform("9|set", "range")} as u, {I.sql_uniform("9|row", "range")} as v from range((select count(*) from documents))),
-        chosen as (select draw, v, coalesce(min(s.at), (select max(at) from sets)) as at from draws left join sets s on s.upto > u group by draw, v),
+        chosen as (select draw, v, coalesce(min(s.nr), (select max(nr) from sets)) as nr from draws left join sets s on s.upto > u group by draw, v),
         numbered as (select doc_id, source, row_number() over (partition by source order by doc_id) as pos from documents)
-        select draw, s.source as dataset_id, d.doc_id from chosen c join sets s using (at) join numbered d on d.source = s.source and d.pos = floor(v * n) + 1""",
+        select draw, s.source as dataset_id, d.doc_id from chosen c join sets s using (nr) join numbered d on d.source = s.source and d.pos = floor(v * n) + 1""",
 )
 def d12(spark: SparkSession, sf: str) -> DataFrame:
     docs = I.table(spark, sf, "documents")
