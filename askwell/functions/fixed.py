@@ -22,6 +22,11 @@ EXPANSIONS = [
     (" . . . ", " ... "),
 ]
 
+# Characters that count as white space around and between words.
+WHITE_SPACE = "\t\n\u000b\u000c\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680" + "".join(
+    map(chr, [*range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
+
 # ASCII punctuation and articles deleted from answers.
 PUNCTUATION_CLASS = r"[!-/:-@\[-`{-~]"
 ARTICLES = ("a", "an", "the")

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from . import fixed
 
-UNICODE_SPACE = r"(?U)\s+"
+SPACE_RUN = "[" + fixed.WHITE_SPACE + "]+"
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -41,7 +41,7 @@ def normalize_answer(text: Column) -> Column:
     """Lower case, no ASCII punctuation, no articles, single blanks."""
     bare = F.regexp_replace(F.lower(text), fixed.PUNCTUATION_CLASS, "")
     words = F.regexp_replace(bare, r"(?U)\b(" + "|".join(fixed.ARTICLES) + r")\b", " ")
-    return F.trim(F.regexp_replace(words, UNICODE_SPACE, " "))
+    return F.trim(F.regexp_replace(words, SPACE_RUN, " "))
 
 
 def answer_words(text: Column) -> Column:
@@ -138,7 +138,7 @@ def strip_suffix(text: Column, token: str, strict_compat: bool = False) -> Colum
 
 def strip_space(text: Column) -> Column:
     """Trim Unicode white space on both sides."""
-    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+    return F.trim(text, F.lit(fixed.WHITE_SPACE))
 
 
 def unquote(text: Column) -> Column:
@@ -153,20 +153,24 @@ def section_rows(answer: Column, end_token: str = fixed.END_TOKEN, strict_compat
     The last blank-line block is dropped unless it opens with a section.
     """
     body = strip_space(strip_suffix(strip_trailing_block(answer), end_token, strict_compat))
-    pattern = F.lit("(?dU)" + fixed.SECTION_PATTERN)
-    return F.arrays_zip(
-        F.regexp_extract_all(body, pattern, F.lit(1)).alias("section"),
-        F.regexp_extract_all(body, pattern, F.lit(4)).alias("title"),
-        F.regexp_extract_all(body, pattern, F.lit(6)).alias("quote"),
+    pattern = "(?dU)" + fixed.SECTION_PATTERN
+    # One scan of the answer; the groups are then read off the short matches.
+    return F.transform(
+        F.regexp_extract_all(body, F.lit(pattern), F.lit(0)),
+        lambda m: F.struct(
+            F.regexp_extract(m, pattern, 1).alias("section"),
+            F.regexp_extract(m, pattern, 4).alias("title"),
+            F.regexp_extract(m, pattern, 6).alias("quote"),
+        ),
     )
 
 
 def strip_trailing_block(answer: Column) -> Column:
     """Drop the last blank-line block unless it opens with a section."""
-    blocks = F.split(answer, "\n\n")
-    opens = F.element_at(blocks, -1).rlike(r"(?dU)\A" + fixed.SECTION_PATTERN)
-    kept = F.array_join(F.slice(blocks, F.lit(1), F.size(blocks) - 1), "\n\n")
-    return F.when(opens, answer).otherwise(kept)
+    last = F.substring_index(answer, "\n\n", -1)
+    opens = last.rlike(r"(?dU)\A" + fixed.SECTION_PATTERN)
+    rest = F.greatest(F.length(answer) - F.length(last) - 2, F.lit(0))
+    return F.when(opens, answer).otherwise(F.substring(answer, F.lit(1), rest))
 
 
 def parse_status(answer: Column, rows: Column) -> Column:

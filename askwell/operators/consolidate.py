@@ -23,6 +23,7 @@ from ..session import written
 
 MIN_TEXT = 3
 MIN_QUOTE = 15
+SEARCH_CELLS = 4_000_000
 CONTEXT_KEY = ["qid", "ctx_pos"]
 
 
@@ -115,10 +116,21 @@ def match_quotes(parsed: DataFrame, contexts: DataFrame) -> DataFrame:
 
 
 def longest_common(text: str, quote: str) -> tuple[int, int]:
-    """Start and length of the longest common substring, earliest in ``text``.
-
-    Suffix automaton of the quote, walked along the text: linear in both.
-    """
+    """Start and length of the longest common substring, earliest in ``text``."""
+    if len(text) * len(quote) > SEARCH_CELLS:
+        return _longest_by_automaton(text, quote)
+    best = 0
+    for i in range(len(quote)):
+        while i + best < len(quote) and quote[i : i + best + 1] in text:
+            best += 1
+    if not best:
+        return 0, 0
+    places = (text.find(quote[i : i + best]) for i in range(len(quote) - best + 1))
+    return min(p for p in places if p >= 0), best
+
+
+def _longest_by_automaton(text: str, quote: str) -> tuple[int, int]:
+    """The same for long texts: suffix automaton of the quote, linear in both."""
     nexts: list[dict[str, int]] = [{}]
     link, size, last = [-1], [0], 0
     for char in quote:

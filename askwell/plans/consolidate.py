@@ -62,45 +62,56 @@ def statement(*parts: str, select: str, recursive: bool = False) -> str:
     return sql.replace("with ", "with recursive ", 1) if recursive else sql
 
 
-def parsed(spark: SparkSession, sf: str) -> DataFrame:
-    return V.parse_answers(I.teacher_answers(spark, sf))
+class Steps:
+    """The steps of one consolidation, each computed from the ones before."""
 
+    def __init__(self, spark: SparkSession, sf: str) -> None:
+        self.contexts = I.teacher_contexts(spark, sf)
+        self.parsed = I.written(V.parse_answers(I.teacher_answers(spark, sf)), "parsed")
 
-def spans(spark: SparkSession, sf: str) -> DataFrame:
-    return I.written(V.quote_spans(V.match_quotes(parsed(spark, sf), I.teacher_contexts(spark, sf)), "verbatim"), "spans")
+    def gate(self) -> DataFrame:
+        return V.teacher_gate(self.parsed)
 
+    def matched(self) -> DataFrame:
+        return V.match_quotes(self.parsed, self.contexts)
 
-def kept(spark: SparkSession, sf: str, voted: DataFrame) -> DataFrame:
-    return V.majority_span(voted, V.teacher_gate(parsed(spark, sf)), I.teacher_contexts(spark, sf))
+    def spans(self) -> DataFrame:
+        return V.quote_spans(self.matched(), "verbatim")
 
+    def votes(self) -> tuple[DataFrame, DataFrame]:
+        spans = I.written(self.spans(), "spans")
+        return V.vote_counts(spans), spans
 
-def grouped(spark: SparkSession, sf: str, s: DataFrame | None = None) -> DataFrame:
-    s = spans(spark, sf) if s is None else s
-    voted = V.vote_counts(s)
-    majorities = V.teacher_gate(parsed(spark, sf)).select("qid", "majority")
-    return V.context_votes(kept(spark, sf, voted), V.peak_voters(voted, s)).join(majorities, "qid")
+    def kept(self, votes: DataFrame) -> DataFrame:
+        return V.majority_span(votes, self.gate(), self.contexts)
+
+    def grouped(self) -> tuple[DataFrame, DataFrame]:
+        votes, spans = self.votes()
+        kept = self.kept(votes)
+        voters = V.context_votes(kept, V.peak_voters(votes, spans))
+        return voters.join(self.gate().select("qid", "majority"), "qid"), kept
 
 
 @query("v01_teacher_gate", statement(select=" select qid, outcome, majority from gate"))
 def v01(spark: SparkSession, sf: str) -> DataFrame:
-    return V.teacher_gate(parsed(spark, sf))
+    return V.teacher_gate(V.parse_answers(I.teacher_answers(spark, sf)))
 
 
 @query("v02_match_quotes", statement(select=" select qid, ctx_pos, teacher_ord, quote_ord, section, md5(quote) as quote_md5 from matched"))
 def v02(spark: SparkSession, sf: str) -> DataFrame:
-    rows = V.match_quotes(parsed(spark, sf), I.teacher_contexts(spark, sf))
+    rows = Steps(spark, sf).matched()
     return rows.select("qid", "ctx_pos", "teacher_ord", "quote_ord", "section", F.md5("quote").alias("quote_md5"))
 
 
 @query("v03_quote_span", statement(VERBATIM, select=' select qid, ctx_pos, teacher_ord, quote_ord, section, s as "start", e as "end" from spans'))
 def v03(spark: SparkSession, sf: str) -> DataFrame:
-    return spans(spark, sf)
+    return Steps(spark, sf).spans()
 
 
 @query("v03_quote_span_lcs")
 def v03_lcs(spark: SparkSession, sf: str) -> DataFrame:
     """Quotes whose first blank was dropped, so that no quote of two words is verbatim."""
-    rows = V.match_quotes(parsed(spark, sf), I.teacher_contexts(spark, sf))
+    rows = Steps(spark, sf).matched()
     return V.quote_spans(rows.withColumn("quote", F.regexp_replace("quote", r"\A(\S+) ", "$1")))
 
 
@@ -109,7 +120,7 @@ def v03_lcs(spark: SparkSession, sf: str) -> DataFrame:
     statement(VERBATIM, VOTES, select=" select qid, ctx_pos, sum((e - s) * votes)::bigint as cast_votes, min(s) as first, max(e) as last, max(votes) as top from votes group by all"),
 )
 def v04(spark: SparkSession, sf: str) -> DataFrame:
-    rows = V.vote_counts(spans(spark, sf))
+    rows, _ = Steps(spark, sf).votes()
     return rows.groupBy("qid", "ctx_pos").agg(
         F.sum((F.col("end") - F.col("start")) * F.col("votes")).alias("cast_votes"),
         F.min("start").alias("first"),
@@ -120,24 +131,24 @@ def v04(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("v05_majority_span", statement(VERBATIM, VOTES, SPAN, select=" select qid, ctx_pos, title, md5(quote) as quote_md5 from kept"))
 def v05(spark: SparkSession, sf: str) -> DataFrame:
-    rows = kept(spark, sf, V.vote_counts(spans(spark, sf)))
+    steps = Steps(spark, sf)
+    rows = steps.kept(steps.votes()[0])
     return rows.select("qid", "ctx_pos", "title", F.md5("quote").alias("quote_md5"))
 
 
 @query("v06_peak_voters", statement(VERBATIM, VOTES, PEAK, select=" select qid, ctx_pos, teacher_ord, section from voters"))
 def v06(spark: SparkSession, sf: str) -> DataFrame:
-    s = spans(spark, sf)
-    return V.peak_voters(V.vote_counts(s), s)
+    return V.peak_voters(*Steps(spark, sf).votes())
 
 
 @query("v07_section_pairs", statement(VERBATIM, VOTES, SPAN, PEAK, PAIRS, select=" select qid, a, b, votes::int as votes from pairs where votes >= 3"))
 def v07(spark: SparkSession, sf: str) -> DataFrame:
-    return V.section_pairs(grouped(spark, sf), 3)
+    return V.section_pairs(Steps(spark, sf).grouped()[0], 3)
 
 
 @query("v08_assign_sections", statement(VERBATIM, VOTES, SPAN, PEAK, PAIRS, SECTIONS, select=" select qid, ctx_pos, section from sections", recursive=True))
 def v08(spark: SparkSession, sf: str) -> DataFrame:
-    return V.assign_sections(grouped(spark, sf))
+    return V.assign_sections(Steps(spark, sf).grouped()[0])
 
 
 @query(
@@ -145,9 +156,8 @@ def v08(spark: SparkSession, sf: str) -> DataFrame:
     statement(VERBATIM, VOTES, SPAN, PEAK, PAIRS, SECTIONS, EXEMPLARS, select=" select qid, md5(exemplar) as exemplar_md5 from rendered", recursive=True),
 )
 def v09(spark: SparkSession, sf: str) -> DataFrame:
-    s = spans(spark, sf)
-    rows = kept(spark, sf, V.vote_counts(s))
-    return V.render_exemplar(rows, V.assign_sections(grouped(spark, sf, s))).select("qid", F.md5("exemplar").alias("exemplar_md5"))
+    grouped, kept = Steps(spark, sf).grouped()
+    return V.render_exemplar(kept, V.assign_sections(grouped)).select("qid", F.md5("exemplar").alias("exemplar_md5"))
 
 
 @query(

@@ -123,7 +123,7 @@ def d05(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def d05_stream(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = D.chunk_stream(I.tokens(spark, sf), "doc_id", 256, offset=5)
+    chunks = D.chunk_stream(I.written(I.tokens(spark, sf), "tokens"), "doc_id", 256, offset=5)
     return chunks.select("chunk", ids("tokens").alias("ids_md5"))
 
 
@@ -139,7 +139,7 @@ def _crop_sql(view: str) -> str:
         left join {_crop_sql("q")} q on q.doc_id = d.doc_id left join {_crop_sql("k")} k on k.doc_id = d.doc_id"""),
 )
 def d06(spark: SparkSession, sf: str) -> DataFrame:
-    views = D.crop_views(I.tokens(spark, sf).filter(F.size("tokens") > 0), "doc_id", 0.1, 0.5, seed=5)
+    views = D.crop_views(I.tokens(spark, sf), "doc_id", 0.1, 0.5, seed=5)
     return views.select("doc_id", ids("q_tokens").alias("q_md5"), ids("k_tokens").alias("k_md5"))
 
 
@@ -157,7 +157,7 @@ OTHER = f"floor({I.sql_uniform('0|other', 'doc_id', 'i')} * 100)::int + 50"
     ),
 )
 def d07(spark: SparkSession, sf: str) -> DataFrame:
-    rows = I.tokens(spark, sf).filter(F.size("tokens") > 0)
+    rows = I.tokens(spark, sf)
     tokens, key = F.col("tokens"), F.col("doc_id")
     out = rows.select(
         "doc_id",
@@ -180,7 +180,7 @@ def d07(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def d08(spark: SparkSession, sf: str) -> DataFrame:
-    rows = I.tokens(spark, sf).filter(F.size("tokens") > 0)
+    rows = I.tokens(spark, sf)
     out = rows.select("doc_id", D.augment_shuffle(F.col("tokens"), F.col("doc_id")).alias("ids"))
     return out.select("doc_id", ids("ids").alias("ids_md5"))
 
@@ -190,7 +190,7 @@ def d08(spark: SparkSession, sf: str) -> DataFrame:
     I.with_views("tokens", then="select doc_id, md5(array_to_string([1] || tokens || [2], ',')) as both_md5, md5(array_to_string([1] || tokens, ',')) as bos_md5, md5(array_to_string(tokens || [2], ',')) as eos_md5 from tokens"),
 )
 def d09(spark: SparkSession, sf: str) -> DataFrame:
-    rows = I.tokens(spark, sf).filter(F.size("tokens") > 0)
+    rows = I.tokens(spark, sf)
     forms = {"both": (1, 2), "bos": (1, None), "eos": (None, 2)}
     out = rows.select("doc_id", *[D.add_bos_eos(F.col("tokens"), *v).alias(k) for k, v in forms.items()])
     return out.select("doc_id", *[ids(k).alias(f"{k}_md5") for k in forms])
@@ -206,7 +206,7 @@ def d09(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def d10(spark: SparkSession, sf: str) -> DataFrame:
-    rows = D.with_batch(I.tokens(spark, sf).filter(F.size("tokens") > 0), 8, "doc_id")
+    rows = D.with_batch(I.tokens(spark, sf), 8, "doc_id")
     padded = D.pad_mask(rows, "tokens")
     real = F.size(F.filter("mask", lambda m: m))
     return padded.select("doc_id", "batch", F.size("tokens").alias("n"), real.alias("n_real"), ids("tokens").alias("ids_md5"))
@@ -302,7 +302,7 @@ def d17(spark: SparkSession, sf: str) -> DataFrame:
         select md5(string_agg(token::varchar, ',' order by i)) as ids_md5 from enc group by id union all select ids_md5 from words_of""").replace("words as (select id, least", "pwords as (select id, least").replace("from words where i < 200", "from pwords where i < 200"),
 )
 def d18(spark: SparkSession, sf: str) -> DataFrame:
-    rows = I.tokens(spark, sf).filter(F.size("tokens") > 0)
+    rows = I.tokens(spark, sf)
     second = rows.select(
         F.col("tokens").alias("input_ids"), F.col("tokens").alias("labels"), F.transform("tokens", lambda x: F.lit(1)).alias("attention_mask")
     )
