@@ -1,4 +1,4 @@
-"""Cleaning one model's sectioned quotes (T10), as one expression over arrays."""
+"""Cleaning one model's sectioned quotes (T10), as a chain of array columns."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import bind, section_rows, strip_trailing_block, unquote
+from .text import section_rows, strip_trailing_block, unquote
 
 
 def _short(quote: Column) -> Column:
@@ -89,26 +89,30 @@ def _numbers(ordered: Column) -> Column:
     return F.aggregate(ordered, start, step)["out"]
 
 
-def cleaned_sections(
-    answer: Column,
+def clean_sections(
+    df: DataFrame,
+    answer: str,
+    output: str,
     sep: str = "\n",
     section_type: str | None = "origin",
     title_type: str | None = "origin",
     content_type: str = "origin",
     strict_compat: bool = False,
-) -> Column:
-    """The cleaned, renumbered and rendered form of a sectioned answer.
+) -> DataFrame:
+    """Adds the cleaned, renumbered and rendered form of a sectioned answer.
 
     Section: ``origin``, ``star``, ``number`` or ``None``; title: ``origin``,
     ``quote``, ``md`` or ``None``; content: ``origin`` or ``quote``. An answer
     without any section comes back with its last block dropped.
     """
-
-    def line(x: Column, i: Column, numbers: Column) -> Column:
-        head = []
-        if section_type is not None:
-            number = {"star": F.lit("*"), "number": F.concat((i + 1).cast("string"), F.lit("."))}
-            head.append(number.get(section_type, F.get(numbers, i)))
+    ordered = F.col("__ordered")
+    labels = {
+        "star": F.transform(ordered, lambda x: F.lit("*")),
+        "number": F.transform(ordered, lambda x, i: F.concat((i + 1).cast("string"), F.lit("."))),
+    }
+
+    def line(x: Column, label: Column) -> Column:
+        head = [] if section_type is None else [label]
         if title_type is not None:
             shown = {"quote": F.concat(F.lit('"'), x["title"], F.lit('"')), "md": F.concat(F.lit("## "), x["title"])}
             head.append(shown.get(title_type, x["title"]))
@@ -119,19 +123,15 @@ def cleaned_sections(
             return quote
         return F.concat(F.concat_ws(" ", *head), F.lit("\n" if title_type is not None else " "), quote)
 
-    def render(ordered: Column) -> Column:
-        return bind(
-            _numbers(ordered), lambda numbers: F.array_join(F.transform(ordered, lambda x, i: line(x, i, numbers)), sep)
-        )
-
-    def clean(rows: Column) -> Column:
-        ordered = bind(_items(rows), lambda items: bind(_distinct(items), lambda d: _sorted(_kept(d))))
-        text = F.regexp_replace(bind(ordered, render), r"([A-Z])\1{2}", fixed.NO_TITLE)
-        return F.when(F.size(rows) > 0, text).otherwise(strip_trailing_block(answer))
-
-    return bind(section_rows(answer, strict_compat=strict_compat), clean)
-
-
-def clean_sections(df: DataFrame, answer: str, output: str, **options: object) -> DataFrame:
-    """Adds ``cleaned_sections`` of a column."""
-    return df.withColumn(output, cleaned_sections(F.col(answer), **options))
+    # One column per step: nested in a single expression they take the analyser far too long.
+    staged = (
+        df.withColumn("__rows", section_rows(F.col(answer), strict_compat=strict_compat))
+        .withColumn("__items", _items(F.col("__rows")))
+        .withColumn("__distinct", _distinct(F.col("__items")))
+        .withColumn("__ordered", _sorted(_kept(F.col("__distinct"))))
+        .withColumn("__labels", labels.get(section_type, _numbers(ordered)))
+    )
+    lines = F.zip_with("__ordered", "__labels", line)
+    text = F.regexp_replace(F.array_join(lines, sep), r"([A-Z])\1{2}", fixed.NO_TITLE)
+    result = F.when(F.size("__rows") > 0, text).otherwise(strip_trailing_block(F.col(answer)))
+    return staged.withColumn(output, result).drop("__rows", "__items", "__distinct", "__ordered", "__labels")

@@ -167,7 +167,7 @@ def section_rows(answer: Column, end_token: str = fixed.END_TOKEN, strict_compat
 
 def strip_trailing_block(answer: Column) -> Column:
     """Drop the last blank-line block unless it opens with a section."""
-    last = F.substring_index(answer, "\n\n", -1)
+    last = F.element_at(F.split(answer, "\n\n"), -1)
     opens = last.rlike(r"(?dU)\A" + fixed.SECTION_PATTERN)
     rest = F.greatest(F.length(answer) - F.length(last) - 2, F.lit(0))
     return F.when(opens, answer).otherwise(F.substring(answer, F.lit(1), rest))
