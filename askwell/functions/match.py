@@ -81,5 +81,6 @@ def answer_runs(answers: Column) -> Column:
 
 def passage_has_answer(runs: Column, text: Column) -> Column:
     """Any answer run is a contiguous token run of the passage; false without text."""
-    hit = bind(token_run(qa_tokens(text)), lambda passage: F.exists(runs, lambda r: passage.contains(r)))
+    both = F.struct(runs.alias("runs"), token_run(qa_tokens(text)).alias("passage"))
+    hit = bind(both, lambda b: F.exists(b["runs"], lambda r: F.contains(b["passage"], r)))
     return F.coalesce(hit, F.lit(False))
