@@ -187,5 +187,5 @@ def dataset_catalog(spark: SparkSession, exemplar_suffix: str | None = None) ->
 
 def resolve_tasks(df: DataFrame, catalog: DataFrame, split: str) -> DataFrame:
     """Add path, kind and instruction to rows that name a task; the kind has a default."""
-    known = F.broadcast(catalog.filter(F.col("split") == split).drop("split"))  # one row per known task
+    known = catalog.filter(F.col("split") == split).drop("split")
     return df.join(known, "task", "left").withColumn("kind", F.coalesce("kind", F.lit(fixed.DEFAULT_TASK_KIND)))
