@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import pii, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,4 +21,16 @@ def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judge(read(spark, sf, "documents"))
 
 
-QUERIES["op7_quality_rules"] = op7_quality_rules
+def op9_simhash_neardup(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_classes(read(spark, sf, "documents"))
+
+
+def op3_pii_surrogates(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.replace_entities(read(spark, sf, "documents")).select("doc_id", "text", "n_replaced")
+
+
+QUERIES |= {
+    "op3_pii_surrogates": op3_pii_surrogates,
+    "op7_quality_rules": op7_quality_rules,
+    "op9_simhash_neardup": op9_simhash_neardup,
+}
