@@ -94,12 +94,12 @@ def draw(secret: str, salt: Column, size: Column) -> Column:
     return F.conv(F.substring(digest, 1, DRAWS), 16, 10).cast("long") % size
 
 
-def letters(secret: str, source: Column) -> Column:
-    """``source`` with each character replaced by one of its class and script."""
+def letters(secret: str, source: Column, part: str = "") -> Column:
+    """``source`` with each character replaced by one of its class and script; parts draw apart."""
 
     def swap(c: Column, i: Column) -> Column:
         def of(alphabet: str) -> Column:
-            place = draw(secret, i.cast("string"), F.lit(len(alphabet)))
+            place = draw(secret, F.concat(F.lit(part), i.cast("string")), F.lit(len(alphabet)))
             return F.substring(F.lit(alphabet), (place + 1).cast("int"), F.lit(1))
 
         hexadecimal = F.when(F.col("type") == "secret", of("abcdef"))
@@ -134,7 +134,7 @@ def surrogate(secret: str) -> Column:
         letters(secret, local),
         F.when(wide, draw(secret, F.lit("tail"), F.lit(10**9)).cast("string")).otherwise(""),
         F.lit("@"),
-        letters(secret, host),
+        letters(secret, host, "host"),
         top,
     )
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, quality, simhash
+from . import mixing, packing, pii, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,7 +29,17 @@ def op3_pii_surrogates(spark: SparkSession, sf: str) -> DataFrame:
     return pii.replace_entities(read(spark, sf, "documents")).select("doc_id", "text", "n_replaced")
 
 
+def op4_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(read(spark, sf, "documents"))
+
+
+def op5_bestfit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(read(spark, sf, "documents"))
+
+
 QUERIES |= {
+    "op4_mix_sources": op4_mix_sources,
+    "op5_bestfit_packing": op5_bestfit_packing,
     "op3_pii_surrogates": op3_pii_surrogates,
     "op7_quality_rules": op7_quality_rules,
     "op9_simhash_neardup": op9_simhash_neardup,
