@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, quality, simhash
+from . import bm25, lang_id, mixing, packing, pii, pitman_yor, quality, simhash, suffix_dedup, warc
+from .common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,7 +39,37 @@ def op5_bestfit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(read(spark, sf, "documents"))
 
 
+def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    return lang_id.identify(read(spark, sf, "documents"))
+
+
+def op2_bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document whose id is divisible by 100, as a query against all documents."""
+    docs = read(spark, sf, "documents")
+    return bm25.top_k(docs, docs.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text"))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.dedup(read(spark, sf, "documents"))
+
+
+def op8_pitman_yor(spark: SparkSession, sf: str) -> DataFrame:
+    return pitman_yor.score(read(spark, sf, "documents"))
+
+
+def op10_warc_archive(spark: SparkSession, sf: str) -> DataFrame:
+    """Writes the pages to archives in the shared folder and reads them back."""
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archive(read(spark, sf, "pages"), folder)
+    return warc.read_archive(spark, folder, payloads=False).drop("payload", "url")
+
+
 QUERIES |= {
+    "op1_language_id": op1_language_id,
+    "op2_bm25_topk": op2_bm25_topk,
+    "op6_suffix_dedup": op6_suffix_dedup,
+    "op8_pitman_yor": op8_pitman_yor,
+    "op10_warc_archive": op10_warc_archive,
     "op4_mix_sources": op4_mix_sources,
     "op5_bestfit_packing": op5_bestfit_packing,
     "op3_pii_surrogates": op3_pii_surrogates,
