@@ -227,7 +227,10 @@ def near_links(distinct: DataFrame, distance: int = 4) -> DataFrame:
             if key[2] == key[3]:
                 a, b = cell_links(values, None, distance)
             else:
-                a, b = cell_links(values[side == key[2]], values[side != key[2]], distance)
+                one, two = values[side == key[2]], values[side != key[2]]
+                if not len(one) or not len(two):  # a chunk without partners meets none here
+                    return None
+                a, b = cell_links(one, two, distance)
             return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)}) if len(a) else None
 
         open_key, parts = None, []
