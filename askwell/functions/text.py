@@ -183,6 +183,6 @@ def parse_status(answer: Column, rows: Column) -> Column:
 
 
 def uniform(seed: int | str, *parts: Column) -> Column:
-    """Repeatable number in [0, 1): 32 bits of md5 over the seed and parts."""
+    """Repeatable number in [0, 1): 52 bits of md5 over the seed and parts."""
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts]))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(2.0**52)

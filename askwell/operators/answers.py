@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -51,19 +50,19 @@ def dataset_shapes(named: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def multiset_overlap(left: DataFrame, right: DataFrame, keys: Sequence[str], right_keys: Sequence[str] = ()) -> DataFrame:
-    """Common items of two bags per key, from rows ``keys, item``.
+def bag_overlap(left: Column, right: Column) -> Column:
+    """Common items of two arrays of strings as bags, within the row.
 
-    Items are counted before they meet, so a long text shuffles its distinct
-    words and is spread over tasks by word.
+    Each item gets the number of its equals before it, which makes bags sets.
     """
-    a = left.groupBy(*keys, "item").agg(F.count("*").alias("__a"))
-    b = right.groupBy(*keys, *right_keys, "item").agg(F.count("*").alias("__b"))
-    return (
-        b.join(a, [*keys, "item"])
-        .groupBy(*keys, *right_keys)
-        .agg(F.sum(F.least("__a", "__b")).alias("common"))
-    )
+
+    def told_apart(items: Column) -> Column:
+        return bind(
+            F.array_sort(F.coalesce(items, F.array().cast("array<string>"))),
+            lambda s: F.transform(s, lambda x, i: F.concat_ws("\x00", x, (i - F.array_position(s, x)).cast("string"))),
+        )
+
+    return F.size(F.array_intersect(told_apart(left), told_apart(right)))
 
 
 def f_measure(common: Column, n_prediction: Column, n_truth: Column) -> Column:
@@ -73,30 +72,28 @@ def f_measure(common: Column, n_prediction: Column, n_truth: Column) -> Column:
 
 
 def token_f1(df: DataFrame, key: str, prediction: str, truths: str) -> DataFrame:
-    """``key, f1``: best bag-overlap F1 of the normalised words over the truths."""
-    golds = df.select(key, F.posexplode(truths).alias("truth", "gold"))
-    common = multiset_overlap(
-        df.select(key, F.explode(answer_words(F.col(prediction))).alias("item")),
-        golds.select(key, "truth", F.explode(answer_words(F.col("gold"))).alias("item")),
-        [key],
-        ["truth"],
-    )
-    lengths = df.select(
-        key,
-        F.size(answer_words(F.col(prediction))).alias("n_prediction"),
-        F.posexplode(F.transform(F.col(truths), lambda t: F.size(answer_words(t)))).alias("truth", "n_truth"),
-    )
-    score = f_measure(F.coalesce("common", F.lit(0)), F.col("n_prediction"), F.col("n_truth"))
-    return lengths.join(common, [key, "truth"], "left").groupBy(key).agg(F.max(score).alias("f1"))
+    """``key, f1``: best bag-overlap F1 of the normalised words over the truths, row by row; null without truths."""
+
+    def best(p: Column) -> Column:
+        def one(t: Column) -> Column:
+            return bind(answer_words(t), lambda g: f_measure(bag_overlap(p, g), F.size(p), F.size(g)))
+
+        return F.array_max(F.transform(F.col(truths), one))
+
+    return df.select(key, bind(answer_words(F.col(prediction)), best).alias("f1"))
 
 
 # Hits in retrieved lists.
 
 
 def context_hits(df: DataFrame, answers: DataFrame) -> DataFrame:
-    """Adds ``hit`` to rows ``qid, pos, text``: the passage holds one of its question's answers."""
+    """Adds ``hit`` to rows ``qid, pos, text``: the passage holds one of its question's answers.
+
+    A question without answers has no hits, but still counts.
+    """
     runs = answers.select("qid", answer_runs(F.col("answers")).alias("__runs"))
-    return df.join(runs, "qid").withColumn("hit", passage_has_answer(F.col("__runs"), F.col("text"))).drop("__runs")
+    hit = F.coalesce(passage_has_answer(F.col("__runs"), F.col("text")), F.lit(False))
+    return df.join(runs, "qid", "left").withColumn("hit", hit).drop("__runs")
 
 
 def hits_at_k(hits: DataFrame) -> DataFrame:
@@ -127,19 +124,10 @@ def rank_permutation(scores: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda x: x["i"])
 
 
-@F.pandas_udf(T.LongType())
-def inversions(ranks: pd.Series) -> pd.Series:
-    """Pairs out of order, counted against a sorted prefix and never listed."""
-
-    def count(values: np.ndarray) -> int:
-        seen: list[int] = []
-        total = 0
-        for value in values:
-            total += len(seen) - bisect_right(seen, value)
-            insort(seen, value)
-        return total
-
-    return ranks.map(count)
+def inversions(ranks: Column) -> Column:
+    """Pairs out of order: for each item, the smaller ones behind it."""
+    after = lambda r, i: F.size(F.filter(F.slice(ranks, i + 2, F.greatest(F.size(ranks) - i - 1, F.lit(0))), lambda x: x < r))
+    return F.aggregate(F.transform(ranks, after), F.lit(0).cast("long"), lambda total, n: total + n)
 
 
 def topk_overlap(ranks: Column, k: int) -> Column:
@@ -175,17 +163,12 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 
 def rouge_n(df: DataFrame, key: str, prediction: str, reference: str, n: int) -> DataFrame:
-    """``key, rouge{n}``: F-measure of n-gram overlap."""
-    grams = df.select(
-        key,
-        ngrams(rouge_tokens(F.col(prediction)), n).alias("p"),
-        ngrams(rouge_tokens(F.col(reference)), n).alias("r"),
-    )
-    common = multiset_overlap(
-        grams.select(key, F.explode("p").alias("item")), grams.select(key, F.explode("r").alias("item")), [key]
+    """``key, rouge{n}``: F-measure of n-gram overlap, row by row."""
+    grams = F.struct(
+        ngrams(rouge_tokens(F.col(prediction)), n).alias("p"), ngrams(rouge_tokens(F.col(reference)), n).alias("r")
     )
-    score = f_measure(F.coalesce("common", F.lit(0)), F.size("p"), F.size("r"))
-    return grams.join(common, key, "left").select(key, score.alias(f"rouge{n}"))
+    score = bind(grams, lambda g: f_measure(bag_overlap(g["p"], g["r"]), F.size(g["p"]), F.size(g["r"])))
+    return df.select(key, score.alias(f"rouge{n}"))
 
 
 def _tokens(text: str) -> list[str]:

@@ -25,17 +25,11 @@ def filter_contexts(df: DataFrame) -> DataFrame:
     )
 
 
-def budget_contexts(df: DataFrame, max_len: int, shortest: int = SHORTEST) -> DataFrame:
-    """Keep the leading passages whose running text and title length stays within ``max_len``.
-
-    Texts have at least ``shortest`` characters, so a kept passage cannot rank
-    below ``max_len // shortest``; the rank cut that follows from it is exact
-    and lets every task prune a long list before the shuffle.
-    """
-    order = Window.partitionBy("qid").orderBy("pos")
-    ranked = df.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= max(max_len // shortest, 1))
-    used = F.sum(F.length("text") + F.length("title")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn("__used", used).filter(F.col("__used") <= max_len).drop("__rank", "__used")
+def budget_contexts(df: DataFrame, max_len: int) -> DataFrame:
+    """Keep the leading passages whose running text and title length stays within ``max_len``."""
+    order = Window.partitionBy("qid").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    used = F.sum(F.length("text") + F.length("title")).over(order)
+    return df.withColumn("__used", used).filter(F.col("__used") <= max_len).drop("__used")
 
 
 def dedup_contexts(df: DataFrame) -> DataFrame:
@@ -50,8 +44,7 @@ def dedup_contexts(df: DataFrame) -> DataFrame:
 
 def title_max_score(df: DataFrame) -> DataFrame:
     """Best score of each question's title next to every passage."""
-    best = df.groupBy("qid", "title").agg(F.max("score").alias("max_score"))
-    return df.join(best, ["qid", "title"])
+    return df.withColumn("max_score", F.max("score").over(Window.partitionBy("qid", "title")))
 
 
 def top_passages_per_title(df: DataFrame, n_contexts: int = 2) -> DataFrame:
@@ -118,12 +111,18 @@ def build_question(
 
 
 def highlight_keyword(text: Column, keyword: Column | str) -> Column:
-    """Bold the first case-insensitive hit of a keyword."""
+    """Bold the first case-insensitive hit of a keyword, in the text's own spelling."""
     key = F.lit(keyword) if isinstance(keyword, str) else keyword
-    at = F.instr(F.lower(text), F.lower(key))
+    pattern = F.concat(F.lit("(?iu)"), quoted(key))
+    hit, at = F.regexp_substr(text, pattern), F.regexp_instr(text, pattern)
     head = F.substring(text, F.lit(1), at - 1)
-    tail = F.substring(text, at + F.length(key), F.length(text))
-    return F.when(at > 0, F.concat(head, F.lit("**"), key, F.lit("**"), tail)).otherwise(text)
+    tail = F.substring(text, at + F.length(hit), F.length(text))
+    return F.when(at > 0, F.concat(head, F.lit("**"), hit, F.lit("**"), tail)).otherwise(text)
+
+
+def quoted(key: Column) -> Column:
+    """A text as a pattern that matches just that text."""
+    return F.concat(F.lit(r"\Q"), F.replace(key, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
 
 
 def assemble_context(

@@ -2,9 +2,8 @@
 
 Brute force needs every question next to every passage, but never as rows:
 blocks of vectors meet in numpy, and only the best ``k`` per question and task
-are emitted. A question side of checked small size is broadcast and passages
-are not moved; a larger one is cut into blocks that meet passage blocks by an
-equi-join of block numbers.
+are emitted. Questions are broadcast in blocks of bounded size; passages are
+scanned in place, once per block.
 """
 
 from __future__ import annotations
@@ -17,18 +16,20 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text
-from .ordering import with_position
 
 BROADCAST_BYTES = 64 << 20
-CELL_BYTES = 256 << 20
-SCORE_DIGITS = 6
-PARTIAL = "qid long, pid long, score double"
+#: Sums of products differ in their last digits with the order of addition; scores equal to so many are ties.
+SCORE_DIGITS = 12
+#: Scores held at once, and bytes of one block of decoded or scored vectors.
 TILE = 1 << 22
 
+Scorer = Callable[[np.ndarray, pd.Series], np.ndarray]
+
 
 def _best(qids: np.ndarray, pids: np.ndarray, scores: np.ndarray, k: int) -> pd.DataFrame:
     """Best ``k`` columns of each score row, ties by passage id."""
@@ -46,114 +47,73 @@ def _trim(hits: pd.DataFrame, k: int) -> pd.DataFrame:
     return hits[hits.groupby("qid").cumcount() < k]
 
 
-def _block_topk(qids: np.ndarray, q: np.ndarray, pids: np.ndarray, p: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
-    """Tile by tile, so that one score tile stays small."""
-    step = max(1, TILE // max(1, len(pids)))
-    for at in range(0, len(qids), step):
-        part = slice(at, at + step)
-        yield _best(qids[part], pids, np.round(q[part] @ p.T, SCORE_DIGITS), k)
-
-
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def _size_bytes(df: DataFrame, vector: str) -> tuple[int, int]:
-    """Rows and bytes of the vectors, as doubles."""
-    row = df.agg(F.count("*").alias("n"), F.sum(F.size(vector)).alias("cells")).first()
-    return row["n"], 8 * (row["cells"] or 0)
+def _products(questions: np.ndarray, vectors: pd.Series) -> np.ndarray:
+    return questions @ _matrix(vectors).T
+
+
+def rows_at_once(n_questions: int) -> int:
+    """Passages scored together, so that a tile of scores stays bounded whatever the vectors' width."""
+    return max(1, TILE // max(1, n_questions))
+
+
+def _id_type(df: DataFrame, name: str) -> str:
+    return df.schema[name].dataType.simpleString()
+
 
+def _search(questions: DataFrame, passages: DataFrame, k: int, score: Scorer, block_bytes: int) -> DataFrame:
+    """Question blocks of bounded size go to every task in turn; passages are scanned where they lie.
 
-def _final(partial: DataFrame, k: int) -> DataFrame:
+    Ids keep their type and order by it.
+    """
+    q, p = questions.select("qid", "embedding"), passages.select("pid", "embedding")
+    row = q.agg(F.sum(F.size("embedding")).alias("cells")).first()
+    blocks = max(1, math.ceil(8 * (row["cells"] or 0) / max(1, block_bytes)))
+    schema = f"qid {_id_type(q, 'qid')}, pid {_id_type(p, 'pid')}, score double"
+    partial = None
+    for block in range(blocks):
+        part = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block)
+        found = _scan(part, p, k, score, schema)
+        partial = found if partial is None else partial.unionByName(found)
     best = Window.partitionBy("qid").orderBy(F.col("score").desc(), "pid")
     return partial.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def _search(
-    questions: DataFrame,
-    passages: DataFrame,
-    k: int,
-    decode: Callable[[pd.Series], np.ndarray],
-    broadcast_bytes: int,
-    cell_bytes: int,
-) -> DataFrame:
-    q = questions.select(F.col("qid").cast("long"), "embedding")
-    p = passages.select(F.col("pid").cast("long"), "embedding")
-    n_q, q_bytes = _size_bytes(q, "embedding")
-    if q_bytes <= broadcast_bytes:
-        return _final(_search_broadcast(q, p, k, decode), k)
-    n_p, p_bytes = _size_bytes(p, "embedding")
-    return _final(_search_grid(q, p, k, decode, math.ceil(q_bytes / cell_bytes), math.ceil(p_bytes / cell_bytes)), k)
-
-
-def _search_broadcast(q: DataFrame, p: DataFrame, k: int, decode: Callable[[pd.Series], np.ndarray]) -> DataFrame:
-    """Question side of checked size goes to every task; passages stay where they are."""
-    local = q.toPandas()
+def _scan(q: DataFrame, p: DataFrame, k: int, score: Scorer, schema: str) -> DataFrame:
+    local = q.toPandas()  # one block, of the size that is broadcast
     if local.empty:
-        return q.sparkSession.createDataFrame([], PARTIAL)
+        return q.sparkSession.createDataFrame([], schema)
     shared = q.sparkSession.sparkContext.broadcast((local["qid"].to_numpy(), _matrix(local["embedding"])))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         qids, matrix = shared.value
-        best = None
+        step, best = rows_at_once(len(qids)), None
         for batch in batches:
-            if batch.empty:
-                continue
-            block = decode(batch["embedding"])
-            found = list(_block_topk(qids, matrix, batch["pid"].to_numpy(), block, k))
-            best = _trim(pd.concat(found if best is None else [best, *found]), k)
+            for at in range(0, len(batch), step):
+                part = batch.iloc[at : at + step]
+                scores = np.round(score(matrix, part["embedding"]), SCORE_DIGITS)
+                found = _best(qids, part["pid"].to_numpy(), scores, k)
+                best = found if best is None else _trim(pd.concat([best, found]), k)
         if best is not None:
             yield best
 
-    return p.mapInPandas(scan, PARTIAL)
-
-
-def _numbers(n: int) -> Column:
-    """``0 .. n-1`` as an array of longs."""
-    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
-
-
-def _search_grid(
-    q: DataFrame, p: DataFrame, k: int, decode: Callable[[pd.Series], np.ndarray], q_blocks: int, p_blocks: int
-) -> DataFrame:
-    """Blocks of bounded size on both sides meet once per cell."""
-    q_blocks, p_blocks = max(q_blocks, 1), max(p_blocks, 1)
-    left = (
-        q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(q_blocks)))
-        .withColumn("pb", F.explode(_numbers(p_blocks)))
-        .groupBy("qb", "pb")
-    )
-    right = (
-        p.withColumn("pb", F.pmod(F.xxhash64("pid"), F.lit(p_blocks)))
-        .withColumn("qb", F.explode(_numbers(q_blocks)))
-        .groupBy("qb", "pb")
-    )
-
-    def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"qid": [], "pid": [], "score": []}).astype({"qid": "int64", "pid": "int64"})
-        parts = _block_topk(
-            a["qid"].to_numpy(), _matrix(a["embedding"]), b["pid"].to_numpy(), decode(b["embedding"]), k
-        )
-        return pd.concat(list(parts))
-
-    return left.cogroup(right).applyInPandas(cell, PARTIAL)
+    return p.mapInPandas(scan, schema)
 
 
 def topk_inner_product(
-    questions: DataFrame,
-    passages: DataFrame,
-    k: int = 10,
-    broadcast_bytes: int = BROADCAST_BYTES,
-    cell_bytes: int = CELL_BYTES,
+    questions: DataFrame, passages: DataFrame, k: int = 10, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Exact best ``k`` passages per question: ``qid, pid, score, rank``.
 
-    Scores are rounded to six digits and ties go to the smaller passage id, so
-    the result does not depend on how vectors are split into blocks. Fewer
-    than ``k`` passages give fewer rows.
+    Ids may have any orderable type. Ties go to the smaller passage id, so the
+    result does not depend on how vectors are split into blocks. Fewer than
+    ``k`` passages give fewer rows. Questions beyond ``broadcast_bytes`` are
+    taken in blocks; no passage is ever moved.
     """
-    return _search(questions, passages, k, _matrix, broadcast_bytes, cell_bytes)
+    return _search(questions, passages, k, _products, broadcast_bytes)
 
 
 # Product quantisation.
@@ -163,19 +123,14 @@ def subvector(vector: Column, part: int, width: int) -> Column:
     return F.slice(vector, part * width + 1, width)
 
 
-def train_codebook(
-    passages: DataFrame, m: int, bits: int, first_batch: int = 1_000_000, order: str = "pid", seed: int = 7, iterations: int = 8
-) -> DataFrame:
-    """Centroids ``(part, code, centroid)`` per sub-vector, learnt on the first batch of rows."""
+def train_codebook(passages: DataFrame, m: int, bits: int, seed: int = 7, iterations: int = 8) -> DataFrame:
+    """Centroids ``(part, code, centroid)`` per sub-vector, learnt on all rows."""
     dim = passages.select(F.size("embedding").alias("d")).first()["d"]
     if dim % m:
         raise ValueError(f"{dim} dimensions do not split into {m} parts")
     width = dim // m
-    batch = passages
-    if passages.count() > first_batch:
-        batch = with_position(passages, order, name="__pos").filter(F.col("__pos") <= first_batch)
     parts = [array_to_vector(subvector(F.col("embedding"), i, width)).alias(f"part{i}") for i in range(m)]
-    batch = batch.select(*parts).persist()  # read once per iteration and part
+    batch = passages.select(*parts).persist()  # read once per iteration and part
     books = []
     for part in range(m):
         means = KMeans(k=2**bits, seed=seed + part, maxIter=iterations, initMode="random", featuresCol=f"part{part}")
@@ -185,6 +140,15 @@ def train_codebook(
     return passages.sparkSession.createDataFrame(books, "part int, code int, centroid array<double>")
 
 
+def codebook_of(vectors: DataFrame, m: int) -> DataFrame:
+    """A codebook of given vectors (``code, embedding``): each part of vector ``code`` is that part's centroid."""
+    dim = vectors.select(F.size("embedding").alias("d")).first()["d"]
+    parts = F.array(*[subvector(F.col("embedding"), i, dim // m).cast("array<double>") for i in range(m)])
+    return vectors.select("code", F.posexplode(parts).alias("part", "centroid")).select(
+        "part", F.col("code").cast("int").alias("code"), "centroid"
+    )
+
+
 def _book_array(codebook: DataFrame) -> list[np.ndarray]:
     rows = codebook.orderBy("part", "code").collect()  # m * 2^bits rows by construction
     parts: dict[int, list[list[float]]] = {}
@@ -209,35 +173,38 @@ def encode_pq(passages: DataFrame, codebook: DataFrame) -> DataFrame:
                 at += book.shape[1]
             yield pd.DataFrame({"pid": batch["pid"], "codes": list(np.stack(codes, axis=1).astype(np.int32))})
 
-    return passages.select(F.col("pid").cast("long"), "embedding").mapInPandas(assign, "pid long, codes array<int>")
+    return passages.select("pid", "embedding").mapInPandas(assign, f"pid {_id_type(passages, 'pid')}, codes array<int>")
+
+
+def _looked_up(books: list[np.ndarray], questions: np.ndarray, codes: pd.Series) -> np.ndarray:
+    """Scores as sums of table entries: per part, the products of the questions with all its centroids."""
+    chosen = np.stack(codes.to_numpy())
+    total, at = np.zeros((len(questions), len(chosen))), 0
+    for part, book in enumerate(books):
+        table = questions[:, at : at + book.shape[1]] @ book.T  # questions by centroids
+        total += table[:, chosen[:, part]]
+        at += book.shape[1]
+    return total
 
 
 def topk_pq(
-    questions: DataFrame,
-    codes: DataFrame,
-    codebook: DataFrame,
-    k: int = 10,
-    broadcast_bytes: int = BROADCAST_BYTES,
-    cell_bytes: int = CELL_BYTES,
+    questions: DataFrame, codes: DataFrame, codebook: DataFrame, k: int = 10, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
-    """Best ``k`` passages per question by inner product with the quantised vectors."""
+    """Best ``k`` passages per question by inner product with the quantised vectors, which are never decoded."""
     books = questions.sparkSession.sparkContext.broadcast(_book_array(codebook))
 
-    def decode(column: pd.Series) -> np.ndarray:
-        chosen = np.stack(column.to_numpy())
-        return np.concatenate([book[chosen[:, part]] for part, book in enumerate(books.value)], axis=1)
+    def score(matrix: np.ndarray, column: pd.Series) -> np.ndarray:
+        return _looked_up(books.value, matrix, column)
 
-    return _search(
-        questions, codes.select("pid", F.col("codes").alias("embedding")), k, decode, broadcast_bytes, cell_bytes
-    )
+    return _search(questions, codes.select("pid", F.col("codes").alias("embedding")), k, score, broadcast_bytes)
 
 
 # Results and vectors.
 
 
 def hydrate(hits: DataFrame, passages: DataFrame, columns: tuple[str, ...] = ("title", "text")) -> DataFrame:
-    """Passage columns next to each hit; the join strategy is left to the planner."""
-    return hits.join(passages.select(F.col("id").alias("pid"), *columns), "pid")
+    """Passage columns next to each hit, null where the passage is unknown; no hit is lost."""
+    return hits.join(passages.select(F.col("id").alias("pid"), *columns), "pid", "left")
 
 
 def nest_results(hits: DataFrame, columns: tuple[str, ...] = ("title", "text")) -> DataFrame:
@@ -279,10 +246,9 @@ def pool_vectors(
     """One vector per key: the mean over unmasked tokens, or the first token's vector (``cls``)."""
     if how == "cls":
         return tokens.groupBy(key).agg(F.min_by(vector, pos).alias("pooled"))
-    kept = tokens.filter(F.col(mask)).select(key, F.posexplode(vector).alias("dim", "x"))
-    means = kept.groupBy(key, "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    ordered = F.array_sort(F.collect_list(F.struct("dim", "x")))  # one entry per dimension
-    return means.groupBy(key).agg(F.transform(ordered, lambda d: d["x"]).alias("pooled"))
+    dense = array_to_vector(F.col(vector).cast("array<double>"))
+    means = tokens.filter(F.col(mask)).groupBy(key).agg(Summarizer.mean(dense).alias("pooled"))
+    return means.withColumn("pooled", vector_to_array("pooled"))
 
 
 def encode_text(df: DataFrame, text: str, dim: int = 768, lower_case: bool = True, normalize: bool = True) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bind, normalize_text, uniform
+from ..functions.text import bind, normalize_text, strip_suffix, uniform
 from .ordering import running_total, with_position
 from .prepare import passage_text
 
@@ -41,12 +41,8 @@ def negative_quota(
     seed: int = 0,
 ) -> Column:
     """``(n_hard, n_random)``: hard ones by independent draws, both capped by what is there."""
-    wanted = F.size(
-        F.filter(
-            F.transform(F.sequence(F.lit(0), F.lit(negatives - 1)), lambda i: uniform(f"{seed}|quota", key, i)),
-            lambda u: u < hard_ratio,
-        )
-    )
+    draws = F.transform(F.array_repeat(F.lit(0), negatives), lambda _, i: uniform(f"{seed}|quota", key, i))
+    wanted = F.size(F.filter(draws, lambda u: u < hard_ratio))
     hard_left = F.greatest(F.coalesce(F.size(hard_pool), F.lit(0)) - hard_min_idx, F.lit(0))
     n_hard = F.when(hard_pool.isNull(), 0).otherwise(F.least(wanted, hard_left))
     n_random = F.when(random_pool.isNull(), 0).otherwise(F.least(F.lit(negatives) - n_hard, F.size(random_pool)))
@@ -318,7 +314,7 @@ def encode_completion(
 
     Labels of all but the last prompt token are ignored.
     """
-    closed = F.concat(F.regexp_replace(F.col(target), "(" + eos + r")+\z", ""), F.lit(" " + eos))
+    closed = F.concat(strip_suffix(F.col(target), eos), F.lit(" " + eos))
     prompt_ids = word_ids(F.col(prompt), vocabulary)
     staged = (
         df.withColumn("__prompt", prompt_ids)

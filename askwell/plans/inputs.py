@@ -16,20 +16,15 @@ from ..session import scratch, written  # noqa: F401
 
 TEACHERS = 5
 DEPTH = 20
-TEXTS = ("documents", "conversations", "pages")
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """One test table; texts that sit in fewer splits than there are cores are dealt out."""
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in TEXTS and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    """One test table, read in the splits of its files."""
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def passages(spark: SparkSession, sf: str) -> DataFrame:
-    """Every line of five or more characters of every document."""
+    """Every line of every document, trimmed; blank ones too."""
     lines = table(spark, sf, "documents").select(
         "doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     )
@@ -40,7 +35,7 @@ def passages(spark: SparkSession, sf: str) -> DataFrame:
         "source",
         F.concat_ws("-", "source", F.col("doc_id").cast("string")).alias("title"),
         F.trim("line").alias("text"),
-    ).filter(F.length("text") >= 5)
+    )
 
 
 def contexts(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,9 +77,10 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 def hits(spark: SparkSession, sf: str, k: int = DEPTH) -> DataFrame:
     """Best ``k`` vectors for every vector of the table."""
     e = vectors(spark, sf)
-    return topk_inner_product(
+    found = topk_inner_product(
         e.select(F.col("vec_id").alias("qid"), "embedding"), e.select(F.col("vec_id").alias("pid"), "embedding"), k
     )
+    return found.withColumn("score", F.round("score", 6))
 
 
 def teacher_answers(spark: SparkSession, sf: str) -> DataFrame:
@@ -152,8 +148,7 @@ def run(spark: SparkSession, sf: str) -> DataFrame:
 
 def tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Word ids of every document."""
-    texts = table(spark, sf, "documents").filter(F.col("text").rlike(r"[^\s]"))
-    return texts.select("doc_id", "source", word_ids(F.col("text")).alias("tokens"))
+    return table(spark, sf, "documents").select("doc_id", "source", word_ids(F.col("text")).alias("tokens"))
 
 
 def examples(spark: SparkSession, sf: str) -> DataFrame:
@@ -188,7 +183,7 @@ def joined(column: str, sep: str = ",") -> F.Column:
 
 def sql_uniform(seed: str, *parts: str) -> str:
     inner = ", ".join([f"'{seed}'", *[f"({p})::varchar" for p in parts]])
-    return f"(('0x' || substr(md5(concat_ws('|', {inner})), 1, 8))::ubigint / 4294967296::double)"
+    return f"(('0x' || substr(md5(concat_ws('|', {inner})), 1, 13))::ubigint / 4503599627370496::double)"
 
 
 def sql_word_id(word: str, vocabulary: int = 30000, first: int = 5) -> str:
@@ -217,8 +212,7 @@ SQL = {
     "passages": """
         select doc_id * 100000 + line_no as id, doc_id, line_no, source, source || '-' || doc_id as title, trim(line) as text
         from (select doc_id, source, unnest(string_split(text, chr(10))) as line,
-                     generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from documents)
-        where length(trim(line)) >= 5""",
+                     generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from documents)""",
     "contexts": f"""
         select qid, id, case when letter = 'A' then 'Category:A' else 'Letter ' || letter end as title, text, score,
                row_number() over (partition by qid order by score desc, id) - 1 as pos
@@ -232,10 +226,10 @@ SQL = {
         where a.role = 'user' and b.role = 'assistant'""",
     "scores": """
         select q.vec_id as qid, p.vec_id as pid,
-               round(list_inner_product(q.embedding::double[], p.embedding::double[]), 6) as score
+               round(list_inner_product(q.embedding::double[], p.embedding::double[]), 12) as score
         from embeddings q cross join embeddings p""",
     "hits": f"""
-        select * from (select qid, pid, score, row_number() over (partition by qid order by score desc, pid) as rank
+        select qid, pid, round(score, 6) as score, rank from (select qid, pid, score, row_number() over (partition by qid order by score desc, pid) as rank
         from scores) where rank <= {DEPTH}""",
     "teacher_rows": """
         select doc_id as qid, line_no as ctx_pos, title || '-' || line_no as title, text, t.teacher_ord,

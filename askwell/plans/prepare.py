@@ -39,7 +39,7 @@ def p01(spark: SparkSession, sf: str) -> DataFrame:
         kept as (select * from placed where sup or r <= 10 - n_sup),
         ours as (select doc_id, md5(string_agg(p, '|' order by sup desc, i)) as kept_md5, count(*)::int as n_kept from kept group by doc_id),
         strict as (select doc_id, (max(n_sup) + case when arg_max(sup, i) then 0 else greatest(10 - max(n_sup), 0) end)::int as n_strict from placed group by doc_id)
-        select doc_id, kept_md5, n_kept, n_strict from ours join strict using (doc_id)""",
+        select doc_id, kept_md5, n_kept, n_strict from documents left join ours using (doc_id) left join strict using (doc_id)""",
 )
 def p02(spark: SparkSession, sf: str) -> DataFrame:
     paragraphs = F.transform(
@@ -47,7 +47,7 @@ def p02(spark: SparkSession, sf: str) -> DataFrame:
         lambda p, i: F.struct(p.alias("text"), (I.uniform("sup", F.col("doc_id"), i) < 0.2).alias("is_supporting")),
     )
     rows = docs(spark, sf).select("doc_id", paragraphs.alias("paragraphs"))
-    kept = rows.withColumn("kept", P.select_supporting(F.col("paragraphs"))).filter(F.col("kept").isNotNull())
+    kept = rows.withColumn("kept", P.select_supporting(F.col("paragraphs")))
     return kept.select(
         "doc_id",
         F.md5(F.array_join(F.transform("kept", lambda p: p["text"]), "|")).alias("kept_md5"),

@@ -189,7 +189,7 @@ def t09(spark: SparkSession, sf: str) -> DataFrame:
           select doc_id, quote, min(line_no) as first_no, max(line_no) as last_no, arg_min(major, line_no) as major,
                  arg_min(title, line_no) as title from lines group by doc_id, quote),
         kept as (
-          select * from firsts f where not exists (
+          select * from firsts f where length(f.quote) >= 3 and f.quote <> repeat(substr(f.quote, 1, 1), 3) and not exists (
             select 1 from firsts g where g.doc_id = f.doc_id and g.last_no > f.last_no and contains(g.quote, f.quote))),
         numbered as (
           select *, dense_rank() over (partition by doc_id order by major) as new_major,

@@ -234,14 +234,21 @@ def d12(spark: SparkSession, sf: str) -> DataFrame:
     return D.sample_mixture(docs, docs.count(), "source", "doc_id", 0.5, seed=9)
 
 
+def completion(limit: int) -> str:
+    return COMPLETION.replace("200", str(limit))
+
+
+#: Longer than any prompt and answer together.
+WHOLE = 1_000_000
+
 COMPLETION = f"""+ prompts as (select id, regexp_split_to_array(question, '[\\s\\x{{0B}}]+') as p, regexp_split_to_array(pred || ' </s>', '[\\s\\x{{0B}}]+') as t from turns),
   clean as (select id, list_filter(p, lambda w: w <> '') as p, list_filter(t, lambda w: w <> '') as t from prompts),
   words as (select id, least(len(p), 200) as prompt_len, unnest(list_concat(p, t)) as w, generate_subscripts(list_concat(p, t), 1) - 1 as i from clean),
   enc as (select id, prompt_len, i, {I.sql_word_id("w")} as token, case when i < prompt_len - 1 then -100 else {I.sql_word_id("w")} end as label from words where i < 200)"""
 
 
-def encoded(spark: SparkSession, sf: str) -> DataFrame:
-    return D.encode_completion(I.turns(spark, sf), "question", "pred", 200)
+def encoded(spark: SparkSession, sf: str, limit: int = WHOLE) -> DataFrame:
+    return D.encode_completion(I.turns(spark, sf), "question", "pred", limit)
 
 
 @query(
@@ -250,7 +257,7 @@ def encoded(spark: SparkSession, sf: str) -> DataFrame:
         md5(string_agg(label::varchar, ',' order by i)) as labels_md5, count(*)::int as n from enc group by id"""),
 )
 def d13(spark: SparkSession, sf: str) -> DataFrame:
-    return encoded(spark, sf).select(
+    return encoded(spark, sf, 200).select(
         "id", "prompt_len", ids("input_ids").alias("ids_md5"), ids("labels").alias("labels_md5"), F.size("attention_mask").alias("n")
     )
 
@@ -263,7 +270,7 @@ OPEN, CLOSE = "the", "of"
     "d14_mask_between",
     I.with_views(
         "turns",
-        then=COMPLETION
+        then=completion(WHOLE)
         + f""", marks as (select id, max(i) as last, min(i) filter (label = {I.sql_word_id(quoted(OPEN))} and i >= prompt_len) as o from enc group by id),
         closes as (select m.id, any_value(m.last) as last, any_value(m.o) as o, max(i) filter (label = {I.sql_word_id(quoted(CLOSE))} and i >= o and i >= prompt_len) as c from marks m join enc using (id) group by m.id),
         again as (select c.id, any_value(last) as last, any_value(o) as o, any_value(c) as c, min(i) filter (label = {I.sql_word_id(quoted(OPEN))} and i > c and i >= prompt_len) as o2 from closes c join enc using (id) group by c.id)
@@ -278,11 +285,13 @@ def d14(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "d15_drop_fully_masked",
-    I.with_views("turns", then=f"{COMPLETION} select id from enc group by id having count(*) filter (label <> -100 and i < prompt_len + 20) > 0"),
+    I.with_views("turns", then=f"{completion(WHOLE)} select id from enc where id % 3 <> 0 group by id having count(*) filter (label <> -100) > 0"),
 )
 def d15(spark: SparkSession, sf: str) -> DataFrame:
-    short = encoded(spark, sf).withColumn("labels", F.slice("labels", F.lit(1), F.col("prompt_len") + 20))
-    return D.drop_fully_masked(short).select("id")
+    """Whole rows, of which every third has no label left."""
+    hidden = F.transform("labels", lambda x: F.lit(D.IGNORED))
+    rows = encoded(spark, sf).withColumn("labels", F.when(F.col("id") % 3 == 0, hidden).otherwise(F.col("labels")))
+    return D.drop_fully_masked(rows).select("id")
 
 
 @query("d16_split_train_eval", f"select event_id, case when {I.sql_uniform('4|split', 'event_id')} < 0.1 then 'eval' else 'train' end as split from events")
@@ -297,8 +306,8 @@ def d17(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "d18_concat_encoded",
-    I.with_views("turns", "token_rows", then=COMPLETION + """ , words_of as (select doc_id, md5(string_agg(token::varchar, ',' order by i)) as ids_md5 from token_rows group by doc_id)
-        select md5(string_agg(token::varchar, ',' order by i)) as ids_md5 from enc group by id union all select ids_md5 from words_of""").replace("words as (select id, least", "pwords as (select id, least").replace("from words where i < 200", "from pwords where i < 200"),
+    I.with_views("turns", "token_rows", then=completion(WHOLE) + """ , words_of as (select doc_id, md5(string_agg(token::varchar, ',' order by i)) as ids_md5 from token_rows group by doc_id)
+        select md5(string_agg(token::varchar, ',' order by i)) as ids_md5 from enc group by id union all select ids_md5 from words_of""").replace("words as (select id, least", "pwords as (select id, least").replace(f"from words where i < {WHOLE}", f"from pwords where i < {WHOLE}"),
 )
 def d18(spark: SparkSession, sf: str) -> DataFrame:
     rows = I.tokens(spark, sf)

@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ def test_budget(spark, budget, kept):
 
 def test_keyword(spark):
     got = spark.range(1).select(C.highlight_keyword(F.lit("see rome, Rome"), "Rome").alias("x")).first()["x"]
-    assert got == "see **Rome**, Rome"
+    assert got == "see **rome**, Rome"
 
 
 def test_topk_forms_agree_with_brute_force(spark):
@@ -76,12 +77,58 @@ def test_topk_forms_agree_with_brute_force(spark):
     left = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(q)], "qid long, embedding array<double>")
     right = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(p)], "pid long, embedding array<double>")
     want = {(i, *pair) for i, row in enumerate((q @ p.T).round(6)) for pair in enumerate(sorted(range(40), key=lambda j: (-row[j], j))[:4], 1)}
-    for limit in (1 << 20, 0):
-        hits = R.topk_inner_product(left, right, 4, broadcast_bytes=limit, cell_bytes=512)
+    for limit in (1 << 20, 512):
+        hits = R.topk_inner_product(left, right, 4, broadcast_bytes=limit)
         assert {(r["qid"], r["rank"], r["pid"]) for r in hits.collect()} == want
     assert R.topk_inner_product(left, right.limit(2), 4).count() == 34
 
 
+def test_topk_keeps_the_closer_of_near_equals(spark):
+    left = spark.createDataFrame([("q", [1.0])], "qid string, embedding array<double>")
+    right = spark.createDataFrame([("a", [1.0]), ("b", [1.0 + 1e-9]), ("c", [1.0])], "pid string, embedding array<double>")
+    assert [r["pid"] for r in R.topk_inner_product(left, right, 2).orderBy("rank").collect()] == ["b", "a"]
+
+
+def test_pq_blocks_are_bounded_by_questions_not_width(spark):
+    """768 dimensions in 8 parts: a tile holds scores, never decoded vectors."""
+    rng = np.random.default_rng(4)
+    books = [rng.normal(size=(16, 96)) for _ in range(8)]
+    codes = pd.Series(list(rng.integers(0, 16, size=(50, 8))))
+    questions = rng.normal(size=(3, 768))
+    whole = np.stack([np.concatenate([b[c] for b, c in zip(books, row)]) for row in codes])
+    assert np.allclose(R._looked_up(books, questions, codes), questions @ whole.T)
+    assert R.rows_at_once(10**6) * 10**6 <= R.TILE and R.rows_at_once(10**9) == 1
+
+
+def test_hydrate_keeps_unknown_ids(spark):
+    hits = spark.createDataFrame([(1, 5, 0.5, 1), (1, 9, 0.4, 2)], "qid long, pid long, score double, rank int")
+    passages = spark.createDataFrame([(5, "t", "x")], "id long, title string, text string")
+    nested = R.nest_results(R.hydrate(hits, passages)).first()["ctxs"]
+    assert [(c["id"], c["title"]) for c in nested] == [("5", "t"), ("9", None)]
+
+
+def test_budget_counts_every_short_passage(spark):
+    rows = [(1, i, i, "", "ab", 1.0) for i in range(10)]
+    df = spark.createDataFrame(rows, "qid long, pos long, id long, title string, text string, score double")
+    assert C.budget_contexts(df, 16).count() == 8
+
+
+def test_no_negatives_and_literal_end_token(spark):
+    row = spark.createDataFrame([("k", "q", [("t", "p")], [("t", "n")], [("t", "h")])],
+        "id string, question string, positive_ctxs array<struct<title:string,text:string>>, "
+        "negative_ctxs array<struct<title:string,text:string>>, hard_negative_ctxs array<struct<title:string,text:string>>")
+    assert D.sample_triples(row, negatives=0, hard_ratio=0.5).first()["negatives"] == []
+    text = spark.createDataFrame([("a", "x y eot_id"), ("a", "x y<|eot_id|>")], "p string, t string")
+    ids = [len(r["input_ids"]) for r in D.encode_completion(text, "p", "t", 99, eos="<|eot_id|>").collect()]
+    assert ids == [5, 4]
+
+
+def test_highlight_keeps_the_spelling(spark):
+    row = spark.createDataFrame([("see rome, Rome", "ROME"), ("a.b (x) axb", "(X)")], "t string, k string")
+    got = [r[0] for r in row.select(C.highlight_keyword(F.col("t"), F.col("k"))).collect()]
+    assert got == ["see **rome**, Rome", "a.b **(x)** axb"]
+
+
 def test_pq_recall(spark):
     rng = np.random.default_rng(2)
     vectors = rng.normal(size=(120, 8))
