@@ -17,7 +17,7 @@ from .common import kept, partitions, utf8
 CAPACITY = 4096
 END = 1
 #: Words whose ids a worker remembers between texts; beyond, it starts over.
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 #: Stands between words that are encoded together.
 MARK = "\x01"
 
@@ -42,6 +42,17 @@ def _encoder(path: str):
     return tokenizer, mark, {}
 
 
+def _core(word: bytes) -> tuple[bytes, bytes]:
+    """A word in lower case without the stops and commas after its last letter or digit, and these.
+
+    The vocabulary lower-cases and keeps letters apart from marks, so the ids of
+    a word are those of both parts.
+    """
+    lower = word.lower()
+    core = lower.rstrip(b".,")
+    return (core, lower[len(core) :]) if core[-1:].isalnum() else (lower, b"")
+
+
 def _learn(path: str, words: list[bytes]) -> dict[bytes, bytes]:
     """Ids of words, as little-endian 32-bit bytes.
 
@@ -51,25 +62,25 @@ def _learn(path: str, words: list[bytes]) -> dict[bytes, bytes]:
     tokenizer, mark, known = _encoder(path)
     if len(known) > REMEMBERED:
         known.clear()
-    if len(mark) != 1:
-        plain, odd = [], words
-    else:
-        plain = [w for w in words if MARK.encode() not in w]
-        odd = [w for w in words if MARK.encode() in w]
-    for i in range(0, len(plain), 2000):
-        group = plain[i : i + 2000]
-        texts = [w.decode("utf-8", "replace") for w in group]
-        ids = np.array(tokenizer.encode(f" {MARK} ".join(texts), add_special_tokens=False).ids, "<u4")
+    split = [_core(w) for w in words]
+    new = list({part for pair in split for part in pair if part and part not in known})
+    odd = new if len(mark) != 1 else [w for w in new if MARK.encode() in w]
+    plain = [] if len(mark) != 1 else [w for w in new if MARK.encode() not in w]
+    groups = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
+    texts = [f" {MARK} ".join(w.decode("utf-8", "replace") for w in group) for group in groups]
+    for group, found in zip(groups, tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+        ids = np.array(found.ids, "<u4")
         ends = np.flatnonzero(ids == mark[0])
         if len(ends) != len(group) - 1:  # a word holds the mark's id in another spelling
             odd += group
             continue
-        raw = ids.tobytes()
-        stops = (4 * ends).tolist()
+        raw, stops = ids.tobytes(), (4 * ends).tolist()
         for w, begin, stop in zip(group, [0, *[e + 4 for e in stops]], [*stops, len(raw)]):
             known[w] = raw[begin:stop]
     for w in odd:
         known[w] = np.array(tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+    for w, (core, rest) in zip(words, split):
+        known[w] = known[core] + known[rest] if rest else known[core]
     return known
 
 
