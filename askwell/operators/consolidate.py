@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import parse_status, section_rows, strip_space
 from ..session import written
+from .context import explode_contexts
 
 MIN_TEXT = 3
 MIN_QUOTE = 15
@@ -377,3 +378,22 @@ def consolidate(contexts: DataFrame, answers: DataFrame, mode: str = "lcs", stri
         .join(rendered, "qid", "left")
         .select("qid", F.coalesce("exemplar", F.lit("")).alias("exemplar"))
     )
+
+
+def unpivot_teachers(records: DataFrame, teachers: list[str], key: str = "qid") -> DataFrame:
+    """``qid, teacher, teacher_ord, answer`` from records with one answer column per teacher."""
+    answers = F.array(*[F.struct(F.lit(t).alias("teacher"), F.col(t).alias("answer")) for t in teachers])
+    rows = records.select(F.col(key).alias("qid"), F.posexplode(answers).alias("teacher_ord", "__a"))
+    return rows.select("qid", "__a.teacher", "teacher_ord", "__a.answer")
+
+
+def consolidate_records(
+    records: DataFrame, teachers: list[str], key: str = "qid", mode: str = "lcs", strict_compat: bool = False
+) -> DataFrame:
+    """Records with nested ``ctxs`` and one column per teacher, and their ``exemplar``.
+
+    Records with too few usable answers are dropped.
+    """
+    contexts = explode_contexts(records, key).select("qid", F.col("pos").cast("int").alias("ctx_pos"), "title", "text")
+    found = consolidate(contexts, unpivot_teachers(records, teachers, key), mode, strict_compat)
+    return records.join(found.withColumnRenamed("qid", key), key)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..functions.choices import format_choices
@@ -145,3 +146,42 @@ def assemble_context(
     if seed is not None:
         best = shuffle_titles(best, seed)
     return join_context(best)
+
+
+def explode_contexts(records: DataFrame, key: str = "qid", ctxs: str = "ctxs") -> DataFrame:
+    """Rows ``qid, pos, id, title, text, score`` of records with a list of contexts.
+
+    The list may stand in a field ``ctxs`` of its own. A missing score is 0, a
+    missing id the position.
+    """
+    kind, column = records.schema[ctxs].dataType, F.col(ctxs)
+    if isinstance(kind, T.StructType):
+        kind, column = kind["ctxs"].dataType, column["ctxs"]
+    names = kind.elementType.fieldNames()
+    rows = records.select(F.col(key).alias("qid"), F.posexplode(column).alias("pos", "__ctx"))
+
+    def given(name: str, type_: str, default: Column) -> Column:
+        return F.coalesce(F.col(f"__ctx.{name}").cast(type_), default) if name in names else default
+
+    return rows.select(
+        "qid",
+        F.col("pos").cast("long").alias("pos"),
+        given("id", "long", F.col("pos").cast("long")).alias("id"),
+        F.col("__ctx.title").alias("title"),
+        F.col("__ctx.text").alias("text"),
+        given("score", "double", F.lit(0.0)).alias("score"),
+    )
+
+
+def assemble_records(records: DataFrame, key: str = "qid", instruction: str | None = None, **options) -> DataFrame:
+    """Records with ``prompt`` and ``context``: the question's text and its assembled contexts.
+
+    ``input`` stands for the question and ``choices`` for the answer options
+    where a record has them; ``options`` go to ``assemble_context``. A record
+    without any usable context has an empty one.
+    """
+    own = {c: F.col(c) for c in ("input", "choices") if c in records.columns}
+    prompt = build_question(F.col("question"), instruction, own.get("input"), own.get("choices"))
+    contexts = assemble_context(explode_contexts(records, key), **options).withColumnRenamed("qid", key)
+    joined = records.withColumn("prompt", prompt).join(contexts, key, "left")
+    return joined.withColumn("context", F.coalesce("context", F.lit("")))

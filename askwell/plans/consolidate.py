@@ -173,6 +173,29 @@ def v10(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("qid", F.md5("exemplar").alias("exemplar_md5"))
 
 
+@query(
+    "v10_consolidate_wide",
+    statement(
+        VERBATIM, VOTES, SPAN, PEAK, PAIRS, SECTIONS, EXEMPLARS,
+        select=""" select g.qid, d.lang, md5(coalesce(exemplar, '')) as exemplar_md5 from gate g join documents d on d.doc_id = g.qid
+          left join rendered r on r.qid = g.qid where outcome <> 'dropped'""",
+        recursive=True,
+    ),
+)
+def v10_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """Records as they are stored: contexts nested, one column per teacher, the record's own columns kept."""
+    lines = I.teacher_contexts(spark, sf).groupBy("qid").agg(
+        F.array_sort(F.collect_list(F.struct("ctx_pos", "title", "text"))).alias("__lines")
+    )
+    nested = lines.select("qid", F.transform("__lines", lambda x: F.struct(x["title"].alias("title"), x["text"].alias("text"))).alias("ctxs"))
+    names = [f"teacher{i}" for i in range(I.TEACHERS)]
+    wide = I.teacher_answers(spark, sf).groupBy("qid").pivot("teacher", names).agg(F.first("answer"))
+    langs = I.table(spark, sf, "documents").select(F.col("doc_id").alias("qid"), "lang")
+    records = nested.join(wide, "qid").join(langs, "qid")
+    out = V.consolidate_records(records, names, mode="verbatim")
+    return out.select("qid", "lang", F.md5("exemplar").alias("exemplar_md5"))
+
+
 @query("v10_consolidate_lcs")
 def v10_lcs(spark: SparkSession, sf: str) -> DataFrame:
     return V.consolidate(I.teacher_contexts(spark, sf), I.teacher_answers(spark, sf))

@@ -158,6 +158,28 @@ def c12(spark: SparkSession, sf: str) -> DataFrame:
     return C.assemble_context(I.contexts(spark, sf), max_len=1500).select("qid", F.md5("context").alias("context_md5"))
 
 
+@query(
+    "c12_assemble_records",
+    I.with_views(
+        "contexts",
+        then=BUDGET + dedup("budget") + PER_TITLE + RANKED
+        + f""", joined as ({JOINED.format(10)})
+          select doc_id as qid, {SQL_FEVER} || chr(10) || lang as prompt, coalesce(context_md5, md5('')) as context_md5
+          from documents left join joined on qid = doc_id""",
+    ),
+)
+def c12_records(spark: SparkSession, sf: str) -> DataFrame:
+    """From records with doubly nested contexts to prompt and context."""
+    rows = I.contexts(spark, sf).groupBy("qid").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "id", "title", "text", "score"))).alias("__c")
+    )
+    entry = lambda c: F.struct(c["id"].cast("string").alias("id"), *[c[x].alias(x) for x in ("title", "text", "score")])
+    nested = rows.select("qid", F.struct(F.transform("__c", entry).alias("ctxs")).alias("ctxs"))
+    questions = I.table(spark, sf, "documents").select(F.col("doc_id").alias("qid"), F.col("lang").alias("question"))
+    out = C.assemble_records(nested.join(questions, "qid"), instruction=FEVER, max_len=1500)
+    return out.select("qid", "prompt", F.md5("context").alias("context_md5"))
+
+
 @query(
     "c12_assemble_retrieved",
     I.with_views(

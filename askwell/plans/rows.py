@@ -19,8 +19,18 @@ def s01(spark: SparkSession, sf: str) -> DataFrame:
     path = I.scratch(spark, "s01")
     S.write_records(I.table(spark, sf, "documents"), path)
     schema = "doc_id long, text string, lang string, source string"
-    back = spark.read.schema(schema)  # the reader takes a DDL schema as well
-    return back.json(path).select("doc_id", F.md5("text").alias("text_md5"), "lang", "source")
+    return S.read_records(spark, path, schema).select("doc_id", F.md5("text").alias("text_md5"), "lang", "source")
+
+
+@query("s02_read_json_array", "select doc_id, md5(text) as text_md5, lang from documents")
+def s02(spark: SparkSession, sf: str) -> DataFrame:
+    """One array per file, a few hundred records in each."""
+    path = I.scratch(spark, "s02") + ".json"
+    entry = F.struct("doc_id", "text", "lang")
+    arrays = I.table(spark, sf, "documents").groupBy(F.expr("doc_id div 400").alias("part")).agg(F.to_json(F.collect_list(entry)).alias("value"))
+    arrays.repartition("part").write.partitionBy("part").text(path)
+    back = S.read_records(spark, path, "doc_id long, text string, lang string")
+    return back.select("doc_id", F.md5("text").alias("text_md5"), "lang")
 
 
 @query("s03_read_parquet", "select o_orderkey, o_custkey, o_orderstatus, o_totalprice from orders")
@@ -107,7 +117,7 @@ def s10(spark: SparkSession, sf: str) -> DataFrame:
     said = I.table(spark, sf, "conversations")
     S.write_records(said, path)
     S.write_records(said, path, mode="append")
-    back = spark.read.schema("conv_id long, turn long, role string, text string").json(path)
+    back = S.read_records(spark, path, "conv_id long, turn long, role string, text string")
     return back.select("conv_id", "turn", "role", F.md5("text").alias("text_md5"))
 
 

@@ -60,7 +60,7 @@ EMBEDDING = T.StructType(
 )
 
 
-def read_records(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_records(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Records by file name: ``.json`` one array per file, ``.parquet``, else one object a line."""
     if path.endswith(".parquet"):
         return spark.read.parquet(path) if schema is None else spark.read.schema(schema).parquet(path)
