@@ -340,7 +340,7 @@ def test_pitman_yor_is_a_distribution():
     rng = np.random.default_rng(1)
     texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.5, 40) % 60) for _ in range(30)]
     t = pitman_yor.shard_tables(texts, np.zeros(30, bool))
-    s = pitman_yor.Seating.start(t["words"], np.bincount(t["word"], minlength=len(t["words"])), t["ctx"].astype(np.int64), t["count"].astype(np.int64))
+    s = pitman_yor.Seating(t["words"], np.bincount(t["word"], minlength=len(t["words"])), t["ctx"], t["count"])
 
     def model():
         ctx, c, k = s.totals()
@@ -355,7 +355,8 @@ def test_pitman_yor_is_a_distribution():
         assert (s.t2 >= 1).all() and (s.t2 <= s.c2).all() and (s.t1 <= s.c1).all() and (s.t0 <= s.c0).all()
     n = len(s.words)
     for ctx in [0, int(s.ctx2[3]), 40000]:
-        p = pitman_yor.probabilities(s, model(), np.append(np.arange(n), 0), np.append(np.ones(n, bool), False), np.full(n + 1, ctx))
+        every = pitman_yor.Predictions([(s, model())])
+        p = every.of(np.append(np.arange(n), 0), np.append(np.ones(n, bool), False), np.full(n + 1, ctx))
         assert p.sum() == pytest.approx(1.0, abs=1e-9) and (p > 0).all()
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import pytest
 
@@ -45,7 +46,7 @@ def odd_pages(spark):
 @pytest.mark.parametrize("sizes", [(16 << 20, 32 << 20), (3000, 2000)])
 def test_archives_round_trip(spark, sizes):
     for number, pages in enumerate((spark.read.parquet(f"{SF}/pages.parquet"), odd_pages(spark))):
-        folder = f"{shared_folder(spark)}/warc-test-{number}-{sizes[0]}"
+        folder = f"{shared_folder(spark)}/warc-test-{uuid.uuid4().hex}"
         folder = folder if "://" in folder else f"file://{folder}"
         manifest = warc.write_archive(pages, folder, shard_bytes=sizes[0], file_bytes=sizes[1])
         rows = [tuple(r) for r in pages.select("page_id", "url", "html").collect()]
@@ -60,7 +61,7 @@ def test_archives_round_trip(spark, sizes):
 
 
 def test_empty_archive_and_ids(spark):
-    folder = f"file://{shared_folder(spark).removeprefix('file://')}/warc-test-empty"
+    folder = f"file://{shared_folder(spark).removeprefix('file://')}/warc-test-{uuid.uuid4().hex}"
     assert warc.write_archive(odd_pages(spark).limit(0), folder).count() == 0 and read(spark, folder) == []
     for number in (0, 1, -1, 2**63 - 1, -(2**63), 123456789012345):
         assert warc.page_of(warc.record_id(number, b"")) == number
