@@ -175,32 +175,43 @@ def _tokens(text: str) -> list[str]:
     return "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
 
 
-def subsequence_length(a: Sequence[str], b: Sequence[str]) -> int:
-    """Longest common subsequence, one machine-word row at a time."""
+def _rows(a: Sequence[str], b: Sequence[str]) -> Iterator[int]:
+    """Rows of the subsequence table over ``a`` after each token of ``b``: a zero bit where the length rises."""
     places: dict[str, int] = {}
     for i, token in enumerate(a):
         places[token] = places.get(token, 0) | (1 << i)
     full = (1 << len(a)) - 1
     row = full
+    yield row
     for token in b:
         match = row & places.get(token, 0)
         row = ((row + match) | (row - match)) & full
+        yield row
+
+
+def subsequence_length(a: Sequence[str], b: Sequence[str]) -> int:
+    """Longest common subsequence, one machine-word row at a time."""
+    for row in _rows(a, b):
+        pass
     return len(a) - row.bit_count()
 
 
 def _subsequence_places(reference: list[str], candidate: list[str]) -> set[int]:
-    """Places in ``reference`` of one longest common subsequence, preferring later candidate tokens."""
-    table = np.zeros((len(reference) + 1, len(candidate) + 1), dtype=np.int32)
-    for i, token in enumerate(reference):
-        extend = np.array([t == token for t in candidate])
-        best = np.where(extend, table[i, :-1] + 1, table[i, 1:])
-        table[i + 1, 1:] = np.maximum.accumulate(best)
+    """Places in ``reference`` of one longest common subsequence, preferring later candidate tokens.
+
+    The table is kept as one bit per cell.
+    """
+    rows = list(_rows(reference, candidate))
+
+    def length(i: int, j: int) -> int:
+        return i - (rows[j] & ((1 << i) - 1)).bit_count()
+
     found, i, j = set(), len(reference), len(candidate)
     while i and j:
         if reference[i - 1] == candidate[j - 1]:
             i, j = i - 1, j - 1
             found.add(i)
-        elif table[i, j - 1] > table[i - 1, j]:
+        elif length(i, j - 1) > length(i - 1, j):
             j -= 1
         else:
             i -= 1

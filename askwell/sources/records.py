@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,14 +124,27 @@ def read_token_shards(
 TOKENS = T.StructType([T.StructField("tokens", T.ArrayType(T.IntegerType()))])
 
 
+def in_file_order(df: DataFrame) -> DataFrame:
+    """Adds ``__at``: a number that rises with file name, place of the split in its file, and line.
+
+    ``df`` comes straight from a reader. Splits are packed into tasks by size;
+    within one, rows keep their order.
+    """
+    split = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start")]
+    rows = df.select("*", *split, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__line"))
+    order = Window.orderBy("__file", "__start")  # one row per split
+    places = rows.select("__file", "__start").distinct().withColumn("__n", F.row_number().over(order))
+    at = F.shiftleft(F.col("__n").cast("long"), 33) + F.col("__line")
+    return rows.join(F.broadcast(places), ["__file", "__start"]).withColumn("__at", at).drop("__file", "__start", "__line", "__n")
+
+
 def read_contrastive(spark: SparkSession, paths: Sequence[str], maxload: int | None = None) -> DataFrame:
     """Example files in the given order, up to ``maxload`` examples in all."""
     kept, room = [], maxload
     for path in paths:
         part = read_records(spark, path, CONTRASTIVE)
         if maxload:
-            ordered = part.withColumn("__at", F.monotonically_increasing_id())
-            part = with_position(ordered, "__at", name="__pos").filter(F.col("__pos") <= room).drop("__at", "__pos")
+            part = with_position(in_file_order(part), "__at", name="__pos").filter(F.col("__pos") <= room).drop("__at", "__pos")
             room -= part.count()
         kept.append(part)
         if maxload and room <= 0:

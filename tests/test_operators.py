@@ -295,3 +295,11 @@ def test_files(spark, tmp_path):
     assert sum(IO.read_token_shards(spark, shards, "split", i, 3).count() for i in range(3)) == 4
     R.save_vectors(spark.range(3).select("id", F.array(F.lit(1.0)).alias("embedding")), str(tmp_path / "v"))
     assert R.load_vectors(spark, str(tmp_path / "v")).count() == 3
+
+
+def test_contrastive_takes_the_first_rows_by_file(spark, tmp_path):
+    for i, n in enumerate((3, 400, 5)):
+        rows = [f'{{"question": "{i}-{j:04d}{"x" * (200 if i == 1 else 1)}"}}' for j in range(n)]
+        (tmp_path / f"part-{i}.jsonl").write_text("\n".join(rows) + "\n")
+    got = [r["question"].split("x")[0] for r in IO.read_contrastive(spark, [str(tmp_path)], maxload=203).collect()]
+    assert sorted(got) == [f"0-{j:04d}" for j in range(3)] + [f"1-{j:04d}" for j in range(200)]
