@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -15,11 +17,6 @@ BLOCK_ROWS = 1 << 16
 TILE = 1 << 22
 
 
-def _numbers(n: int) -> Column:
-    """``0 .. n-1`` as an array of longs."""
-    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
-
-
 def weighted_mean(stats: DataFrame, name: str = "name", value: str = "value", weight: str = "weight") -> DataFrame:
     """Weighted mean, total weight, plain mean and sum of each named value."""
     total = F.sum(weight)
@@ -79,59 +76,52 @@ def _scaled_sums(q: np.ndarray, n: np.ndarray, temperature: float) -> tuple[np.n
     return top, np.exp(logits - top[:, None]).sum(axis=1), logits.sum(axis=1)
 
 
-def negative_logits(
-    pairs: DataFrame, negatives: DataFrame, temperature: float = 1.0, block_rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """``id, top, total, plain, n``: what a softmax needs to know of a query's negatives.
+def _sums_against(block: Broadcast, temperature: float) -> Callable[[Column], Column]:
+    @F.pandas_udf("top double, total double, plain double, n long")
+    def sums(q: pd.Series) -> pd.DataFrame:
+        negatives = block.value
+        step = max(1, TILE // len(negatives))
+        rows = [_scaled_sums(_stack(q.iloc[at : at + step]), negatives, temperature) for at in range(0, len(q), step)]
+        top, total, plain = (np.concatenate(c) for c in zip(*rows)) if rows else (np.zeros(0),) * 3
+        return pd.DataFrame({"top": top, "total": total, "plain": plain, "n": len(negatives)})
 
-    Queries and negatives meet block by block; each block sends one row of
-    partial sums per query, so the score matrix is never stored.
-    """
-    q_blocks = max(1, math.ceil(pairs.count() / block_rows))
-    n_blocks = max(1, math.ceil(negatives.count() / block_rows))
-    left = (
-        pairs.select("id", "q")
-        .withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(q_blocks)))
-        .withColumn("nb", F.explode(_numbers(n_blocks)))
-        .groupBy("qb", "nb")
-    )
-    right = (
-        negatives.select("id", "embedding")
-        .withColumn("nb", F.pmod(F.xxhash64("id"), F.lit(n_blocks)))
-        .withColumn("qb", F.explode(_numbers(q_blocks)))
-        .groupBy("qb", "nb")
-    )
+    return sums
 
-    def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"id": [], "top": [], "total": [], "plain": [], "n": []})
-        q, n = _stack(a["q"]), _stack(b["embedding"])
-        step = max(1, TILE // len(n))
-        tiles = [_scaled_sums(q[at : at + step], n, temperature) for at in range(0, len(q), step)]
-        top, total, plain = (np.concatenate(column) for column in zip(*tiles))
-        return pd.DataFrame({"id": a["id"].to_numpy(), "top": top, "total": total, "plain": plain, "n": len(n)})
-
-    schema = "id long, top double, total double, plain double, n long"
-    cells = left.cogroup(right).applyInPandas(cell, schema)
-    highest = cells.groupBy("id").agg(F.max("top").alias("highest"))
-    return (
-        cells.join(highest, "id")
-        .groupBy("id")
-        .agg(
-            F.max("highest").alias("top"),
-            F.sum(F.col("total") * F.exp(F.col("top") - F.col("highest"))).alias("total"),
-            F.sum("plain").alias("plain"),
-            F.sum("n").alias("n"),
-        )
-    )
 
+def with_negatives(
+    pairs: DataFrame, negatives: DataFrame, temperature: float = 1.0, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """``pairs`` with ``top, total, plain, n``: what a softmax needs to know of a query's negatives.
 
-def vector_spread(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Mean over dimensions of the sample standard deviation."""
-    stats = df.select(array_to_vector(F.transform(column, lambda x: x.cast("double"))).alias("v"))
-    std = vector_to_array(Summarizer.std(F.col("v")))
-    total = F.aggregate("std", F.lit(0.0), lambda acc, x: acc + x)
-    return stats.agg(std.alias("std")).select((total / F.size("std")).alias(name))
+    Negatives are broadcast in blocks of at most about ``block_rows``; pairs
+    stay in place and meet all blocks in one pass, and no score is stored.
+    """
+    blocks = max(1, math.ceil(negatives.count() / block_rows))
+    parts = []
+    for b in range(blocks):
+        own = negatives if blocks == 1 else negatives.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
+        local = own.select("embedding").toPandas()
+        if len(local):
+            shared = pairs.sparkSession.sparkContext.broadcast(_stack(local["embedding"]))
+            parts.append(_sums_against(shared, temperature)(F.col("q")))
+    named = pairs.withColumns({f"__n{i}": part for i, part in enumerate(parts)})
+    each = [F.col(f"__n{i}") for i in range(len(parts))]
+    top = F.greatest(*[e["top"] for e in each]) if len(each) > 1 else each[0]["top"]
+
+    def added(values: list[Column]) -> Column:
+        return sum(values[1:], values[0])
+
+    return named.withColumn("top", top).withColumns({
+        "total": added([e["total"] * F.exp(e["top"] - F.col("top")) for e in each]),
+        "plain": added([e["plain"] for e in each]),
+        "n": added([e["n"] for e in each]),
+    }).drop(*[f"__n{i}" for i in range(len(parts))])
+
+
+def spread(column: str) -> Column:
+    """Mean over dimensions of the sample standard deviation, as an aggregate."""
+    deviation = vector_to_array(Summarizer.std(array_to_vector(F.transform(column, lambda x: x.cast("double")))))
+    return F.aggregate(deviation, F.lit(0.0), lambda acc, x: acc + x) / F.size(deviation)
 
 
 def queue_report(
@@ -146,18 +136,16 @@ def queue_report(
     ``pairs``: id, q, k; ``negatives``: id, embedding.
     """
     products = F.zip_with("q", "k", lambda a, b: a.cast("double") * b.cast("double"))
-    own = pairs.select("id", (F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x) / temperature).alias("own"))
-    rows = own.join(negative_logits(pairs, negatives, temperature, block_rows), "id")
+    own = F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x) / temperature
+    rows = with_negatives(pairs, negatives, temperature, block_rows).withColumn("own", own)
     peak = F.greatest("own", "top")
     log_sum = peak + F.log(F.exp(F.col("own") - peak) + F.col("total") * F.exp(F.col("top") - peak))
     mean_logit = (F.col("own") + F.col("plain")) / (F.col("n") + 1)
     loss = (log_sum - F.col("own")) * (1 - label_smoothing) + (log_sum - mean_logit) * label_smoothing
-    report = rows.agg(
+    return rows.agg(
         F.avg(loss).alias("loss"),
         (F.avg((F.col("own") >= F.col("top")).cast("int")) * 100).alias("accuracy"),
         F.count("*").alias("weight"),
+        spread("q").alias("stdq"),
+        spread("k").alias("stdk"),
     )
-    spreads = [vector_spread(pairs, "q", "stdq"), vector_spread(pairs, "k", "stdk")]
-    for spread in spreads:  # one row each
-        report = report.withColumn("__one", F.lit(1)).join(spread.withColumn("__one", F.lit(1)), "__one").drop("__one")
-    return report
