@@ -143,26 +143,6 @@ TASK_INSTRUCTIONS = {
     ),
 }
 
-# Task files and kinds.
-TRAIN_FILES = {
-    "train": "wiki_retrieve.jsonl",
-    "triviaqa_train": "triviaqa_train_retrieve.jsonl",
-    "hotpotqa_train": "hotpotqa_train_processed.json",
-    "2wiki_train": "2wiki_train_processed.json",
-    "arc_c_train": "arc_c_train_retrieve.jsonl",
-    "pubhealth_train": "pubhealth_train_processed.jsonl",
-    "train_truncated": "arc_c_hotpotqa_triviaqa_truncated.jsonl",
-}
-EVAL_FILES = {
-    "arc_c": "arc_challenge_processed.jsonl",
-    "triviaqa": "triviaqa_test.jsonl",
-    "popqa": "popqa_longtail.jsonl",
-    "hotpotqa_dev_fullwiki": "hotpotqa_dev_fullwiki_processed.json",
-    "hotpotqa_dev_distractor": "hotpotqa_dev_distractor_processed.json",
-    "hotpotqa_test": "hotpotqa_test_processed.json",
-    "2wiki_dev": "2wiki_dev_processed.jsonl",
-    "2wiki_test": "2wiki_test_processed.jsonl",
-    "musique_dev": "musique_dev_processed.jsonl",
-}
+# Task kinds.
 STATEMENT_TASKS = ["fever"]
 DEFAULT_TASK_KIND = "question"

@@ -136,23 +136,27 @@ def s11(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema("id long").json(path).agg(F.count("id").alias("n")).withColumn("name", F.lit(path.rsplit("/", 1)[1]))
 
 
+#: Where the evaluation files of a catalogue lie.
+FILES = {"eval": {task: f"eval/{task}.jsonl" for task in ("arc_c", "asqa", "eli5", "hotpotqa_dev", "musique_dev", "popqa", "triviaqa")}}
+
+
 def _catalog_sql() -> str:
     def text(value: str | None) -> str:
         return "null" if value is None else "'" + value.replace("'", "''") + "'"
 
-    rows = ", ".join(f"('{t}', '{p}', {text(fixed.TASK_INSTRUCTIONS.get(t))})" for t, p in fixed.EVAL_FILES.items())
-    names = ", ".join(f"'{t}'" for t in [*fixed.EVAL_FILES, "fever"])
+    rows = ", ".join(f"('{t}', '{p}', {text(fixed.TASK_INSTRUCTIONS.get(t))})" for t, p in FILES["eval"].items())
+    names = ", ".join(f"'{t}'" for t in [*FILES["eval"], "fever"])
     return f"""with catalog(task, path, instruction) as (values {rows}),
-        asked as (select event_id, [{names}][(user_id % {len(fixed.EVAL_FILES) + 1} + 1)::int] as task from events)
+        asked as (select event_id, [{names}][(user_id % {len(FILES['eval']) + 1} + 1)::int] as task from events)
         select event_id, task, path, 'question' as kind, instruction from asked left join catalog using (task)"""
 
 
 @query("s12_dataset_catalog", _catalog_sql())
 def s12(spark: SparkSession, sf: str) -> DataFrame:
-    names = [*fixed.EVAL_FILES, "fever"]
+    names = [*FILES["eval"], "fever"]
     task = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("user_id") % len(names) + 1).cast("int"))
     asked = I.table(spark, sf, "events").select("event_id", task.alias("task"))
-    return S.resolve_tasks(asked, S.dataset_catalog(spark), "eval").select("event_id", "task", "path", "kind", "instruction")
+    return S.resolve_tasks(asked, S.dataset_catalog(spark, FILES), "eval").select("event_id", "task", "path", "kind", "instruction")
 
 
 NUMBERED = "select event_id, row_number() over (order by event_id) - 1 as p, count(*) over () as n from events"

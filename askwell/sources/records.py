@@ -185,11 +185,11 @@ def write_scored(df: DataFrame, metrics: DataFrame, folder: str, stem: str) -> s
     return path
 
 
-def dataset_catalog(spark: SparkSession, exemplar_suffix: str | None = None) -> DataFrame:
-    """``task, split, path, kind, instruction``; with a suffix also the exemplar path."""
+def dataset_catalog(spark: SparkSession, files: dict[str, dict[str, str]], exemplar_suffix: str | None = None) -> DataFrame:
+    """``task, split, path, kind, instruction`` of files given by split and task; with a suffix also the exemplar path."""
     rows = []
-    for split, files in (("train", fixed.TRAIN_FILES), ("eval", fixed.EVAL_FILES)):
-        for task, path in files.items():
+    for split, paths in files.items():
+        for task, path in paths.items():
             kind = "statement" if task in fixed.STATEMENT_TASKS else fixed.DEFAULT_TASK_KIND
             exemplar = None if exemplar_suffix is None else f"{task}{exemplar_suffix}"
             rows.append((task, split, path, kind, fixed.TASK_INSTRUCTIONS.get(task), exemplar))
