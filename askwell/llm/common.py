@@ -38,6 +38,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate rows that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """``df`` computed once and cut off from its lineage, in the shared folder."""
     context = df.sparkSession.sparkContext

@@ -194,15 +194,22 @@ def write_archive(
     return spark.read.parquet(manifest)
 
 
+#: Compressed bytes given to the unpacker at once.
+FED = 1 << 15
+
+
 def members(data: bytes) -> Iterator[bytes]:
-    """The records of an archive file."""
-    while data:
-        unpack = zlib.decompressobj(31)
-        out = unpack.decompress(data) + unpack.flush()
-        if not unpack.eof:
-            raise ValueError("the archive ends within a record")
-        yield out
-        data = unpack.unused_data
+    """The records of an archive file, each unpacked from where the last one ended."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        unpack, out = zlib.decompressobj(31), []
+        while not unpack.eof:
+            if at >= len(view):
+                raise ValueError("the archive ends within a record")
+            part = view[at : at + FED]
+            out.append(unpack.decompress(part))
+            at += len(part) - len(unpack.unused_data)
+        yield b"".join(out)
 
 
 def parse(data: bytes) -> dict | None:
