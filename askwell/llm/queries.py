@@ -46,7 +46,8 @@ def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
 def op2_bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Every document whose id is divisible by 100, as a query against all documents."""
     docs = read(spark, sf, "documents")
-    return bm25.top_k(docs, docs.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text"))
+    asked = docs.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return bm25.top_k(docs, asked).withColumn("score", F.round("score", 4))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,3 +77,28 @@ QUERIES |= {
     "op7_quality_rules": op7_quality_rules,
     "op9_simhash_neardup": op9_simhash_neardup,
 }
+
+ORACLES |= {
+    "op2_bm25_topk": r"""
+        with words as (
+          select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[^\x20\x09-\x0D]+')) as w from documents),
+        tf as (select doc_id, w, count(*) as n from words group by doc_id, w),
+        sizes as (select d.doc_id, coalesce(n, 0) as n from documents d left join (select doc_id, sum(n) as n from tf group by doc_id) t using (doc_id)),
+        whole as (select count(*) as docs, avg(n) as mean from sizes),
+        asked as (select doc_id as query_id, w, n as times from tf where doc_id % 100 = 0),
+        df as (select w, count(*) as df from tf where w in (select w from asked) group by w),
+        scores as (
+          select a.query_id, t.doc_id,
+                 sum(a.times * ln(1 + (docs - df + 0.5) / (df + 0.5)) * t.n * 2.2 / (t.n + 1.2 * (0.25 + 0.75 * s.n / mean))) as score
+          from asked a join tf t on t.w = a.w join df on df.w = a.w join sizes s on s.doc_id = t.doc_id, whole group by a.query_id, t.doc_id)
+        select query_id, rank::int as rank, doc_id, round(score, 4) as score
+        from (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from scores) where rank <= 10""",
+    "op10_warc_archive": """
+        with p as (select page_id, coalesce(html, '') as payload, strlen(coalesce(html, '')) as n from pages),
+        k as (select payload, max(page_id) as keeper from p where n >= 1000 group by payload)
+        select page_id, n::bigint as payload_bytes, sha1(p.payload) as payload_digest,
+               case when keeper <> page_id then 'revisit' else 'response' end as record_type,
+               case when keeper <> page_id then keeper end as refers_to
+        from p left join k on p.payload = k.payload""",
+}
