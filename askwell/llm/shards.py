@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import count
 
 import numpy as np
 import xxhash
 
 
-def word_table(texts: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct words of tokenised texts, the word numbers in a row, and the words per text."""
+def word_table(texts: Iterable[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of tokenised texts, the word numbers in a row, and the words per text.
+
+    Texts that come from a generator are never held as words all at once.
+    """
     number = defaultdict(count().__next__)
-    sizes = np.array([len(t) for t in texts], np.int64)
-    ids = np.array([number[w] for t in texts for w in t], np.int64)
-    return list(number), ids, sizes
+    ids = [np.fromiter(map(number.__getitem__, t), np.int64, len(t)) for t in texts]
+    sizes = np.array([len(x) for x in ids], np.int64)
+    return list(number), np.concatenate(ids) if ids else np.zeros(0, np.int64), sizes
 
 
 def word_hashes(words: list[bytes], seed: int = 0) -> np.ndarray:
@@ -49,3 +53,13 @@ def gathered(batches: Iterator, sizes, limit: int) -> Iterator[list]:
                 rows, total = [], 0
     if rows:
         yield rows
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Small numbers in the narrowest type, compressed."""
+    kind = np.min_scalar_type(values.max(initial=0))
+    return kind.char.encode() + zlib.compress(values.astype(kind).tobytes(), 1)
+
+
+def unpack(data: bytes, kind: type = np.int64) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data[1:]), np.dtype(chr(data[0]))).astype(kind)
