@@ -11,37 +11,53 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import kept, utf8
-from .shards import gathered, spans, word_hashes, word_table
+from .shards import gathered, pack, spans, unpack, word_hashes, word_table
 
 K1, B = 1.2, 0.75
-#: Text of a shard; documents of a block; buckets that terms meet in.
-SHARD_BYTES, BLOCK_DOCS, BUCKETS = 32 << 20, 64, 64
-#: Queries that are searched together.
-TOGETHER = 256
+#: Text of a shard, and what a document counts besides; documents of a block; buckets that terms meet in.
+SHARD_BYTES, DOC_BYTES, BLOCK_DOCS, BUCKETS = 48 << 20, 1024, 64, 64
+#: Queries that are sent together, and searched together.
+SENT, TOGETHER = 2048, 256
+#: A shard's most frequent terms, whose impacts stand in a matrix.
+COMMON = 512
+#: Sums of doubles agree so far: scores equal to so many digits are ties.
+DIGITS = 9
 
 
 def index_shard(doc_ids: list, texts: list) -> dict:
-    """The inverted index of one shard: sorted terms, where their postings start, documents and counts."""
-    words, ids, sizes = word_table([d.lower().split() for d in utf8(texts)])
+    """The inverted index of one shard: sorted terms, their document frequencies, postings and the documents.
+
+    Documents stand by their most frequent term and then by size, so that those
+    of a block are alike and the block's maxima low where its documents are.
+    """
+    words, ids, sizes = word_table(d.lower().split() for d in utf8(texts))
     owner = np.repeat(np.arange(len(sizes)), sizes)
     hashes = word_hashes(words)
     order = np.argsort(hashes)
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    pair = np.sort((place[ids] << 32 | owner).astype(np.uint64)) if len(ids) else np.zeros(0, np.uint64)
-    first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
-    counts = np.diff(np.append(first, len(pair)))
-    term = (pair[first] >> np.uint64(32)).astype(np.int64)
-    docs = (pair[first] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    df = np.bincount(term, minlength=len(words)).astype(np.uint32)
+    pair, counts = counted(owner << 32 | place[ids]) if len(ids) else (ids, ids)
+    top = np.zeros(len(sizes), np.int64)
+    rank = np.lexsort((counts, pair >> 32))
+    top[pair[rank] >> 32] = pair[rank] & 0xFFFFFFFF  # the last one of a document is its most frequent
+    sort = np.lexsort((sizes, top))
+    moved = np.empty(len(sort), np.int64)
+    moved[sort] = np.arange(len(sort))
+    term, doc = pair & 0xFFFFFFFF, moved[pair >> 32]
+    final = np.lexsort((doc, term))
     return {
-        "terms": hashes[order], "df": df, "docs": docs if len(sizes) > 65535 else docs.astype(np.uint16),
-        "tf": counts.astype(np.uint32 if counts.max(initial=0) > 65535 else np.uint16),
-        "ids": np.array(doc_ids, np.int64), "sizes": sizes,
+        "terms": hashes[order], "df": np.bincount(term, minlength=len(words)), "docs": doc[final], "tf": counts[final],
+        "ids": np.array(doc_ids, np.int64)[sort], "sizes": sizes[sort],
     }
 
 
-PARTS = {"terms": np.uint64, "df": np.uint32, "docs": None, "tf": None, "ids": np.int64, "sizes": np.int64}
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.sort(keys.astype(np.uint64)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
+PARTS = ["terms", "df", "docs", "tf", "ids", "sizes"]
 INDEX = "shard long, bucket int, n_docs long, n_words long, " + ", ".join(f"{p} binary" for p in PARTS)
 
 
@@ -50,17 +66,18 @@ def build(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, number = TaskContext.get().partitionId(), 0
-        for rows in gathered(batches, lambda r: len(r[1] or ""), SHARD_BYTES):
+        for rows in gathered(batches, lambda r: len(r[1] or "") + DOC_BYTES, SHARD_BYTES):
             index = index_shard([r[0] for r in rows], [r[1] for r in rows])
             shard = part << 32 | number
             number += 1
             bucket = (index["terms"] >> np.uint64(58)).astype(np.int64)
             edges = np.searchsorted(bucket, np.arange(BUCKETS + 1))
-            out = [(shard, -1, len(rows), int(index["sizes"].sum()), *[index[p].tobytes() for p in PARTS])]
+            whole = [index[p].tobytes() if p in ("terms", "ids") else pack(index[p]) for p in PARTS]
+            out = [(shard, -1, len(rows), int(index["sizes"].sum()), *whole)]
             for b in range(BUCKETS):
                 s, e = edges[b], edges[b + 1]
                 if s < e:
-                    out.append((shard, b, None, None, index["terms"][s:e].tobytes(), index["df"][s:e].tobytes(), *[None] * 4))
+                    out.append((shard, b, None, None, index["terms"][s:e].tobytes(), pack(index["df"][s:e]), *[None] * 4))
             yield pd.DataFrame(out, columns=[f.split()[0] for f in INDEX.split(", ")])
 
     return docs.select("doc_id", "text").mapInPandas(run, INDEX)
@@ -71,7 +88,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            words, ids, sizes = word_table([d.lower().split() for d in utf8(batch["text"].tolist())])
+            words, ids, sizes = word_table(d.lower().split() for d in utf8(batch["text"].tolist()))
             owner = np.repeat(np.arange(len(sizes)), sizes)
             pair, n = np.unique(owner << 32 | ids, return_counts=True)
             hashes = word_hashes(words).view(np.int64)
@@ -94,7 +111,7 @@ def frequencies(index: DataFrame, terms: DataFrame) -> DataFrame:
             have = np.frombuffer(terms_, np.uint64)
             at = np.minimum(np.searchsorted(have, wanted), len(have) - 1)
             hit = have[at] == wanted
-            total[hit] += np.frombuffer(df, np.uint32)[at[hit]]
+            total[hit] += unpack(df)[at[hit]]
         return pd.DataFrame({"term": wanted.view(np.int64), "df": total})
 
     bucket = F.shiftrightunsigned("term", 58).cast("int")
@@ -107,70 +124,72 @@ class Searcher:
     """One shard's index, ready for queries under global statistics."""
 
     def __init__(self, row: pd.Series, mean_size: float):
-        n = int(row["n_docs"])
-        got = {}
-        for p, kind in PARTS.items():
-            if p == "docs":
-                kind = np.uint32 if n > 65535 else np.uint16
-            if p == "tf":
-                kind = np.uint16 if len(row["tf"]) // 2 == got["df"].sum() else np.uint32
-            got[p] = np.frombuffer(row[p], kind)
-        self.terms, self.ids, self.docs = got["terms"], got["ids"], got["docs"].astype(np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(got["df"], dtype=np.int64)])
-        norm = K1 * (1 - B + B * got["sizes"] / mean_size)
-        tf = got["tf"].astype(np.float64)
+        self.terms, self.ids = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["ids"], np.int64)
+        df, sizes = unpack(row["df"]), unpack(row["sizes"])
+        self.docs, tf = unpack(row["docs"]), unpack(row["tf"], np.float64)
+        self.df, self.starts = df, np.concatenate([[0], np.cumsum(df)])
+        norm = K1 * (1 - B + B * sizes / mean_size)
         self.impact = tf * (K1 + 1) / (tf + norm[self.docs])
-        # A run: the postings of one term in one block of documents, with their highest impact.
-        block = self.docs // BLOCK_DOCS
-        new = np.ones(len(block), bool)
-        new[1:] = block[1:] != block[:-1]
-        new[self.starts[:-1]] = True
-        self.run_start = np.flatnonzero(new)
-        self.run_size = np.diff(np.append(self.run_start, len(block)))
-        self.run_block = block[self.run_start]
-        self.run_max = np.maximum.reduceat(self.impact, self.run_start) if len(block) else np.zeros(0)
-        self.term_run = np.searchsorted(self.run_start, self.starts)
-        self.blocks = -(-n // BLOCK_DOCS)
-
-    def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Documents and scores of the shard's best ``k``, by score and then id.
-
-        The sum of the terms' block maxima bounds every score in a block. Blocks
-        are opened from the highest bound down, more at a time, and left out
-        once their bound is below the k-th score so far.
+        self.blocks = max(1, -(-len(self.ids) // BLOCK_DOCS))
+        common = np.argsort(-df, kind="stable")[:COMMON]
+        self.column = np.full(len(df), -1)
+        self.column[common] = np.arange(len(common))
+        # The common terms' impacts by document, and their maxima by block.
+        self.dense = np.zeros((len(common), self.blocks * BLOCK_DOCS))
+        take = spans(self.starts[common], df[common])
+        self.dense[np.repeat(np.arange(len(common)), df[common]), self.docs[take]] = self.impact[take]
+        self.highest = self.dense.reshape(len(common), self.blocks, BLOCK_DOCS).max(axis=2)
+
+    def top(self, query: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, k: int) -> tuple:
+        """Numbers of queries, documents' places and scores: the best ``k`` of the shard for each of ``n`` queries.
+
+        Rare terms are added up posting by posting. For the common ones a block
+        of documents has a bound, the sum of its maxima; blocks are opened from
+        the highest bound down, more in each round, and left out where the bound
+        is below the query's k-th score so far.
         """
+        none = np.zeros(0, np.int64)
         if not len(self.terms):
-            return np.zeros(0, np.int64), np.zeros(0)
+            return none, none, np.zeros(0)
         at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
         hit = self.terms[at] == terms
-        at, weights = at[hit], weights[hit]
-        first, size = self.term_run[at], self.term_run[at + 1] - self.term_run[at]
-        runs, weight = spans(first, size), np.repeat(weights, size)
-        block = self.run_block[runs]
-        bound = np.bincount(block, weight * self.run_max[runs], self.blocks) * (1 + 1e-9)
-        order = np.argsort(-bound)
-        order = order[bound[order] > 0]
-        best, scores, done, step, least = np.zeros(0, np.int64), np.zeros(0), 0, 2, 0.0
-        while done < len(order) and bound[order[done]] >= least:
-            chosen = order[done : done + step]
-            chosen = chosen[bound[chosen] >= least]
-            done, step = done + step, step * 4
-            opened = np.zeros(self.blocks, bool)
-            opened[chosen] = True
-            use = opened[block]
-            picked, lengths = runs[use], self.run_size[runs[use]]
-            postings = spans(self.run_start[picked], lengths)
-            docs = self.docs[postings]
-            total = np.bincount(docs, np.repeat(weight[use], lengths) * self.impact[postings], self.blocks * BLOCK_DOCS)
-            found = np.flatnonzero(total > 0)
-            best, scores = np.concatenate([best, found]), np.concatenate([scores, total[found]])
-            if len(best) > k:
-                line = np.partition(scores, -k)[-k]
-                stay = scores >= line
-                best, scores = best[stay], scores[stay]
-                least = line
-        rank = np.lexsort((self.ids[best], -scores))[:k]
-        return self.ids[best[rank]], scores[rank]
+        query, at, weights = query[hit], at[hit], weights[hit]
+        column = self.column[at]
+        q = np.zeros((n, len(self.dense)))
+        q[query[column >= 0], column[column >= 0]] = weights[column >= 0]
+        query, at, weights = query[column < 0], at[column < 0], weights[column < 0]
+        wide = self.blocks * BLOCK_DOCS
+        take, sizes = spans(self.starts[at], self.df[at]), self.df[at]
+        flat = np.repeat(query * wide, sizes) + self.docs[take]
+        rare = np.bincount(flat, np.repeat(weights, sizes) * self.impact[take], n * wide).reshape(n, wide)
+        bound = q @ self.highest + rare.reshape(n, self.blocks, BLOCK_DOCS).max(axis=2)
+        bound = np.where(bound > 0, bound * (1 + 1e-9) + 10.0**-DIGITS, -1.0)
+        least, opened = np.zeros(n), np.zeros((n, self.blocks), bool)
+        best = (none, none, np.zeros(0))
+        order = np.argsort(-bound, axis=1)
+        for begin, end in ((0, 1), (1, 4), (4, 16), (16, self.blocks)):
+            now = np.zeros((n, self.blocks), bool)
+            np.put_along_axis(now, order[:, begin:end], True, axis=1)
+            now &= bound >= np.maximum(least, 1e-300)[:, None]
+            if not now.any():
+                continue
+            opened |= now
+            found = [best]
+            for b in np.flatnonzero(now.any(axis=0)):
+                own = np.flatnonzero(now[:, b])
+                area = slice(b * BLOCK_DOCS, (b + 1) * BLOCK_DOCS)
+                scores = np.round(q[own] @ self.dense[:, area] + rare[own, area], DIGITS)
+                i, d = np.nonzero((scores > 0) & (scores >= least[own][:, None]))
+                found.append((own[i], d + b * BLOCK_DOCS, scores[i, d]))
+            best = tuple(np.concatenate(c) for c in zip(*found))
+            rank = np.lexsort((self.ids[best[1]], -best[2], best[0]))
+            best = tuple(c[rank] for c in best)
+            head = np.searchsorted(best[0], np.arange(n + 1))
+            stay = np.arange(len(rank)) - head[best[0]] < k
+            full = np.flatnonzero(np.diff(head) >= k)
+            least[full] = best[2][head[full] + k - 1]
+            best = tuple(c[stay] for c in best)
+        return best
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -191,20 +210,26 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     asked = queries.filter("query_id is not null").select("query_id", "text", F.xxhash64("text").alias("q")).distinct()
     terms = kept(query_terms(asked))
     df = frequencies(index, terms.select("term").distinct())
-    idf = F.log(1 + (rows - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = terms.join(df, "term").select("query_id", "q", "term", (F.col("n") * idf).alias("w"))
+    weighted = terms.join(df, "term").select("query_id", "q", "term", "n", "df")
     total = terms.select("query_id", "q").distinct().count()
-    groups = max(1, -(-total // TOGETHER))
+    groups = max(1, -(-total // SENT))
     block = F.pmod(F.xxhash64("query_id", "q"), F.lit(groups)).cast("int")
 
-    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(term=rows["term"].to_numpy().view(np.uint64)).sort_values(["query_id", "q", "term"])
-        columns = {"query_id": np.int64, "q": np.int64, "term": np.uint64, "w": np.float64}
-        return pd.DataFrame([[int(key[0]), *[rows[c].to_numpy(kind).tobytes() for c, kind in columns.items()]]],
-                            columns=["block", "query_ids", "qs", "query_terms", "ws"])
-
+    def packed_(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """Queries of a block: ids, and their terms by number with what each weighs."""
+        rows = rows.sort_values(["query_id", "q", "term"])
+        ids, q = rows["query_id"].to_numpy(), rows["q"].to_numpy()
+        new = np.ones(len(rows), bool)
+        new[1:] = (ids[1:] != ids[:-1]) | (q[1:] != q[:-1])
+        terms, number = np.unique(rows["term"].to_numpy().view(np.uint64), return_inverse=True)
+        found = np.zeros(len(terms), np.int64)
+        found[number] = rows["df"].to_numpy()
+        out = [ids[new].tobytes(), q[new].tobytes(), pack(np.cumsum(new) - 1), terms.tobytes(), pack(found), pack(number), pack(rows["n"].to_numpy())]
+        return pd.DataFrame([[int(key[0]), *out]], columns=["block", *names])
+
+    names = ["ids", "qs", "query", "terms", "df", "number", "n"]
     packed = weighted.withColumn("block", block).groupBy("block").applyInPandas(
-        pack, "block int, query_ids binary, qs binary, query_terms binary, ws binary"
+        packed_, "block int, " + ", ".join(f"{c} binary" for c in names)
     )
     shards = index.filter("bucket = -1").drop("bucket")
     everywhere = shards.select("shard").agg(F.collect_list("shard").alias("all")).first()[0]
@@ -217,16 +242,22 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         out = []
         if len(own):
             shard = Searcher(own.iloc[0], mean_size)
-            for row in blocks.itertuples(index=False):
-                ids, qs = np.frombuffer(row.query_ids, np.int64), np.frombuffer(row.qs, np.int64)
-                terms_, ws = np.frombuffer(row.query_terms, np.uint64), np.frombuffer(row.ws, np.float64)
-                edges = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (qs[1:] != qs[:-1]), [True]]))
-                for s, e in zip(edges[:-1], edges[1:]):
-                    found, scores = shard.top(terms_[s:e], ws[s:e], k)
-                    real = found != -(2**63)
-                    out.append(pd.DataFrame({"query_id": ids[s], "q": qs[s], "doc_id": found[real], "score": scores[real]}))
-        names = {"query_id": "int64", "q": "int64", "doc_id": "int64", "score": "float64"}
-        return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype=t) for c, t in names.items()})
+            for row in blocks.sort_values("block").itertuples(index=False):
+                ids, qs = np.frombuffer(row.ids, np.int64), np.frombuffer(row.qs, np.int64)
+                query, number = unpack(row.query), unpack(row.number)
+                terms_ = np.frombuffer(row.terms, np.uint64)[number]
+                df_ = unpack(row.df, np.float64)
+                weights = unpack(row.n, np.float64) * np.log(1 + (rows - df_ + 0.5) / (df_ + 0.5))[number]
+                for first in range(0, len(ids), TOGETHER):
+                    s, e = np.searchsorted(query, [first, first + TOGETHER])
+                    n = min(TOGETHER, len(ids) - first)
+                    i, d, scores = shard.top(query[s:e] - first, terms_[s:e], weights[s:e], n, k)
+                    doc = shard.ids[d]
+                    real = doc != -(2**63)
+                    i = i[real] + first
+                    out.append(pd.DataFrame({"query_id": ids[i], "q": qs[i], "doc_id": doc[real], "score": scores[real]}))
+        kinds = {"query_id": "int64", "q": "int64", "doc_id": "int64", "score": "float64"}
+        return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype=t) for c, t in kinds.items()})
 
     found = shards.groupBy("shard").cogroup(sent.groupBy("shard")).applyInPandas(
         search, "query_id long, q long, doc_id long, score double"
