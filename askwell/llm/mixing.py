@@ -12,7 +12,7 @@ SHARE = 1.5
 MOST = 2.0
 #: Words in a block, and words that a shard of a source holds at about most.
 BLOCK = 16
-SHARD = 1 << 22
+SHARD = 1 << 18
 
 
 def words_in(text: Column) -> Column:
