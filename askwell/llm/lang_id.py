@@ -144,7 +144,10 @@ def sample(docs: DataFrame, seed: int = 7) -> tuple[list[str], np.ndarray, np.nd
     languages = sorted(r[0] for r in counts.collect())
     each = max(3, DOCUMENTS // max(1, len(languages)))
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
-    chosen = labelled.select("lang", F.col("doc_id").cast("string"), "text").withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= each)
+    ids = labelled.select("lang", "doc_id").withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= each)
+    # At most DOCUMENTS ids, so only they are dealt by language and no text is.
+    few = F.broadcast(kept(ids.select("lang", "doc_id").distinct()))
+    chosen = labelled.join(few, labelled["doc_id"].eqNullSafe(few["doc_id"]) & (labelled["lang"] == few["lang"]), "left_semi")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -155,7 +158,7 @@ def sample(docs: DataFrame, seed: int = 7) -> tuple[list[str], np.ndarray, np.nd
                     rows.append((lang, doc_id, int(i), w[i].tobytes()))
             yield pd.DataFrame(rows, columns=["lang", "doc_id", "i", "w"])
 
-    found = chosen.select("lang", "doc_id", "text").mapInPandas(cut, "lang string, doc_id string, i int, w binary")
+    found = chosen.select("lang", F.col("doc_id").cast("string"), "text").mapInPandas(cut, "lang string, doc_id string, i int, w binary")
     got = sorted((r.lang, r.doc_id, r.i, bytes(r.w)) for r in found.collect())
     index = {lang: k for k, lang in enumerate(languages)}
     codes = np.frombuffer(b"".join(g[3] for g in got), np.uint8).reshape(-1, WINDOW)
