@@ -18,24 +18,28 @@ from .xxh import xxh64
 SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8).reshape(-1, 1), axis=1, bitorder="little").view("<u8").ravel()
 
 
+def shingle_hashes(data: list[bytes], words: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the word shingles of every text one after the other, and their number per text."""
+    parts = [d.lower().split() for d in data]
+    joined = b" ".join(w for p in parts for w in p)
+    counts = np.array([len(p) for p in parts], np.int64)
+    lengths = np.array([len(w) for p in parts for w in p], np.int64)
+    begin = np.cumsum(lengths + 1) - lengths - 1
+    finish = begin + lengths
+    shingles = np.where(counts >= words, counts - words + 1, np.minimum(counts, 1))
+    before = np.cumsum(counts) - counts
+    owner = np.repeat(np.arange(len(parts)), shingles)
+    first = before[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(shingles) - shingles, shingles)
+    last = first + np.minimum(counts, words)[owner] - 1
+    return xxh64(joined, begin[first], finish[last] - begin[first], seed), shingles
+
+
 def fingerprints_of(texts: list, words: int = 4, seed: int = 42) -> np.ndarray:
     """Unsigned 64-bit fingerprint of every text; null and blank texts have zero."""
     data = utf8(texts)
     out = np.zeros(len(data), np.uint64)
     for start, end in blocks([len(d) for d in data]):
-        parts = [d.lower().split() for d in data[start:end]]
-        joined = b" ".join(w for p in parts for w in p)
-        counts = np.array([len(p) for p in parts], np.int64)
-        lengths = np.array([len(w) for p in parts for w in p], np.int64)
-        begin = np.cumsum(lengths + 1) - lengths - 1
-        finish = begin + lengths
-        shingles = np.where(counts >= words, counts - words + 1, np.minimum(counts, 1))
-        before = np.cumsum(counts) - counts
-        owner = np.repeat(np.arange(len(parts)), shingles)
-        first = before[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(shingles) - shingles, shingles)
-        last = first + np.minimum(counts, words)[owner] - 1
-        hashes = xxh64(joined, begin[first], finish[last] - begin[first], seed)
-        out[start:end] = majority(hashes, shingles)
+        out[start:end] = majority(*shingle_hashes(data[start:end], words, seed))
     return out
 
 
