@@ -1,6 +1,7 @@
 """Tables that the registered queries read, derived from the shared test tables.
 
-Every view covers its whole source table and whole texts. ``SQL`` holds the
+Every view covers its whole source table and whole texts, except that
+``examples`` leaves out documents without a positive passage. ``SQL`` holds the
 same views for DuckDB.
 """
 
