@@ -108,8 +108,8 @@ ORACLES |= {
         lists as (select conv_id, list(t order by p) as ts from own group by conv_id),
         sized as (
           select *, xor(4294967295, list_reduce(
-                   list_concat([4294967295], flatten(list_transform(string_split(conv_id::varchar, ''), c -> [ord(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
-                   (c, x) -> case when x >= 0 then xor(c, x) else xor(c >> 1, 3988292384 * (c & 1)) end)) % 4 as h from lists),
+                   list_concat([4294967295], flatten(list_transform(string_split(conv_id::varchar, ''), lambda c: [ord(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                   lambda c, x: case when x >= 0 then xor(c, x) else xor(c >> 1, 3988292384 * (c & 1)) end)) % 4 as h from lists),
         rebuilt as (
           select s.conv_id, list_concat(coalesce(b.ts, [])[1:s.h], s.ts[s.h + 1:]) as ts from sized s left join lists b on b.conv_id = s.conv_id - s.conv_id % 20),
         members as (select conv_id, ts, unnest(range(len(ts) + 1)) as d from rebuilt),
