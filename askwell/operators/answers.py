@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -125,9 +125,32 @@ def rank_permutation(scores: Column) -> Column:
 
 
 def inversions(ranks: Column) -> Column:
-    """Pairs out of order: for each item, the smaller ones behind it."""
-    after = lambda r, i: F.size(F.filter(F.slice(ranks, i + 2, F.greatest(F.size(ranks) - i - 1, F.lit(0))), lambda x: x < r))
-    return F.aggregate(F.transform(ranks, after), F.lit(0).cast("long"), lambda total, n: total + n)
+    """Pairs out of order in a list of ranks from 0, in n log n steps per binary digit of the largest.
+
+    A pair is told apart at the highest digit in which its ranks differ. Per
+    digit, items of equal higher digits stand together in list order, and each
+    one with a 0 counts those with a 1 before it.
+    """
+
+    def at_digit(digit: Column) -> Column:
+        keyed = F.transform(
+            ranks,
+            lambda r, i: F.struct(
+                F.call_function("shiftright", r, digit + 1).alias("high"), i.alias("i"), F.call_function("shiftright", r, digit).bitwiseAND(F.lit(1)).alias("one")
+            ),
+        )
+        nothing = F.lit(0).cast("long")
+        start = F.struct(F.lit(-1).cast("long").alias("high"), nothing.alias("ones"), nothing.alias("pairs"))
+
+        def step(s: Column, x: Column) -> Column:
+            high = x["high"].cast("long")
+            before = F.when(s["high"] == high, s["ones"]).otherwise(nothing)
+            return F.struct(high.alias("high"), (before + x["one"]).alias("ones"), (s["pairs"] + F.when(x["one"] == 0, before).otherwise(nothing)).alias("pairs"))
+
+        return F.aggregate(F.array_sort(keyed), start, step, lambda s: s["pairs"])
+
+    digits = F.sequence(F.lit(0), F.length(F.bin(F.coalesce(F.array_max(ranks), F.lit(0)).cast("long"))) - 1)
+    return F.aggregate(F.transform(digits, at_digit), F.lit(0).cast("long"), lambda total, n: total + n)
 
 
 def topk_overlap(ranks: Column, k: int) -> Column:
@@ -269,50 +292,42 @@ def rouge(
 
 # Bootstrap.
 
-# 64-bit mixing constants of the splitmix generator.
-MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX[1])
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX[2])
-    return x ^ (x >> np.uint64(31))
+UNIT = 1 << 32
+#: Draws that one digest gives.
+DRAWS = 4
 
 
-def poisson_weights(keys: np.ndarray, resamples: int, seed: int) -> np.ndarray:
-    """Poisson(1) draws, one row per resample, fixed by key and seed alone."""
-    rounds = (np.arange(resamples, dtype=np.uint64) + np.uint64(seed) + np.uint64(1)) * np.uint64(MIX[0])
-    draws = _mix(_mix(keys.astype(np.uint64))[None, :] ^ _mix(rounds)[:, None])
-    unit = (draws >> np.uint64(11)).astype(np.float64) / float(1 << 53)
-    return np.searchsorted(_POISSON_STEPS, unit, side="right")
-
-
-_POISSON_STEPS = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1.0, 20.0)])))
+def poisson_steps() -> list[int]:
+    """Where a 32-bit uniform passes from one Poisson(1) draw to the next."""
+    steps, term, total, n = [], math.exp(-1.0), 0.0, 0
+    while not steps or steps[-1] < UNIT - 1:
+        total += term
+        n += 1
+        term /= n
+        steps.append(min(UNIT - 1, math.floor(total * UNIT)))
+    return steps
 
 
 def bootstrap_mid(df: DataFrame, key: str, scores: Sequence[str], resamples: int = 1000, seed: int = 0) -> DataFrame:
     """``metric, mid``: median of the mean over resampled rows.
 
-    A row's number of copies in each resample depends only on its key, so a
-    task sends one partial sum per resample and nothing else is shuffled.
+    A row's number of copies in each resample is a Poisson draw from the digest
+    of seed, key and resample, so a task sends one partial sum per resample and
+    no rows. Rows of one key are drawn together; null scores count as absent.
     """
     names = list(scores)
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weight = np.zeros(resamples)
-        total = np.zeros((resamples, len(names)))
-        for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.iloc[at : at + 1024]
-                draws = poisson_weights(part["__key"].to_numpy().view(np.uint64), resamples, seed)
-                weight += draws.sum(axis=1)
-                total += draws @ part[names].to_numpy(dtype=np.float64)
-        for i, name in enumerate(names):
-            yield pd.DataFrame({"metric": name, "resample": np.arange(resamples), "total": total[:, i], "weight": weight})
-
-    keyed = df.select(F.xxhash64(key).alias("__key"), *names)
-    sums = keyed.mapInPandas(partial, "metric string, resample int, total double, weight double")
-    means = sums.groupBy("metric", "resample").agg(
-        F.when(F.sum("weight") > 0, F.sum("total") / F.sum("weight")).alias("mean")
+    blocks = -(-resamples // DRAWS)
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), F.col("__b").cast("string")))
+    drawn = df.select(key, *names, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__b")).withColumn("__d", digest)
+
+    def copies(j: int) -> Column:
+        unit = F.conv(F.substring("__d", 8 * j + 1, 8), 16, 10).cast("long")
+        return sum((F.when(unit >= s, 1).otherwise(0) for s in poisson_steps()), F.lit(0))
+
+    each = F.array(*[F.struct((F.col("__b") * DRAWS + j).alias("resample"), copies(j).alias("copies")) for j in range(DRAWS)])
+    rows = drawn.select(*names, F.inline(each)).filter((F.col("resample") < resamples) & (F.col("copies") > 0))
+    total = rows.groupBy("resample").agg(
+        *[(F.sum(F.col(n) * F.col("copies")) / F.sum(F.when(F.col(n).isNotNull(), F.col("copies")))).alias(n) for n in names]
     )
+    means = total.select(F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("mean")) for n in names])))
     return means.groupBy("metric").agg(F.percentile("mean", 0.5).alias("mid"))

@@ -18,8 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import parse_status, section_rows, strip_space
-from ..session import written
+from ..functions.text import bind, parse_status, section_rows, strip_space
 from .context import explode_contexts
 
 MIN_TEXT = 3
@@ -302,20 +301,19 @@ def section_pairs(grouped: DataFrame, min_votes: int) -> DataFrame:
     return grouped.select("qid", F.inline(mates)).select("qid", "a", F.inline("mates"))
 
 
-def assign_sections(grouped: DataFrame) -> DataFrame:
-    """``qid, ctx_pos, section``: new section numbers, greedy in context order.
+def section_numbers(ctxs: Column, majority: Column) -> Column:
+    """``ctx_pos, section`` of a question's contexts: new section numbers, greedy in context order.
 
-    ``grouped`` carries ``majority``. A context without a number opens a new
-    major section; those that a majority puts beside it follow as its minors,
-    in order of the first agreeing teacher, then of the context.
+    A context without a number opens a new major section; those that a majority
+    puts beside it follow as its minors, in order of the first agreeing teacher,
+    then of the context.
     """
-    ctxs = F.col("ctxs")
 
     def mates(c: Column, done: Column) -> Column:
         fits = F.filter(
             ctxs,
             lambda o: (o["ctx_pos"] != c["ctx_pos"])
-            & (F.size(_shared(o, c)) >= F.col("majority"))
+            & (F.size(_shared(o, c)) >= majority)
             & ~F.exists(done, lambda d: d["ctx_pos"] == o["ctx_pos"]),
         )
         keyed = F.transform(
@@ -341,8 +339,12 @@ def assign_sections(grouped: DataFrame) -> DataFrame:
         )
 
     nothing = F.slice(F.transform(ctxs, lambda c: numbered(c["ctx_pos"], F.lit(0), F.lit(0))), 1, 0)
-    folded = F.aggregate(ctxs, F.struct(F.lit(1).alias("major"), nothing.alias("done")), step, lambda s: s["done"])
-    return grouped.select("qid", F.inline(folded))
+    return F.aggregate(ctxs, F.struct(F.lit(1).alias("major"), nothing.alias("done")), step, lambda s: s["done"])
+
+
+def assign_sections(grouped: DataFrame) -> DataFrame:
+    """``qid, ctx_pos, section`` of questions with ``ctxs`` and ``majority``."""
+    return grouped.select("qid", F.inline(section_numbers(F.col("ctxs"), F.col("majority"))))
 
 
 def render_exemplar(kept: DataFrame, sections: DataFrame) -> DataFrame:
@@ -356,28 +358,174 @@ def render_exemplar(kept: DataFrame, sections: DataFrame) -> DataFrame:
     )
 
 
+# One question in one row: the same steps over nested arrays.
+
+
+def _matches(answers: Column) -> Column:
+    """A question's usable quotes in one array: teacher_ord, quote_ord, section, title, quote."""
+
+    def of_teacher(a: Column) -> Column:
+        numbered = F.transform(
+            a["rows"],
+            lambda r, i: F.struct(
+                a["teacher_ord"].alias("teacher_ord"), i.alias("quote_ord"), r["section"].alias("label"),
+                F.get(F.split(r["section"], r"\."), F.lit(0)).try_cast("int").alias("section"), r["title"].alias("title"), r["quote"].alias("quote"),
+            ),
+        )
+        return F.filter(numbered, lambda r: (F.length(r["title"]) >= MIN_TEXT) & (F.length(r["quote"]) >= MIN_TEXT) & (r["label"] != "*"))
+
+    return F.flatten(F.transform(F.filter(answers, lambda a: a["status"] == "parsed"), of_teacher))
+
+
+def _spans_in(ctxs: Column, quotes: Column, mode: str) -> Column:
+    """Contexts with the quotes whose title theirs contains; ``start`` is -1 where a quote is not verbatim."""
+
+    def of_context(c: Column) -> Column:
+        fits = F.filter(quotes, lambda q: F.contains(c["title"], q["title"])) if mode != "verbatim" else F.filter(
+            quotes, lambda q: F.contains(c["title"], q["title"]) & F.contains(c["text"], q["quote"]) & q["quote"].rlike(r"(?U)\w")
+        )
+        spans = F.transform(
+            fits,
+            lambda q: F.struct(
+                q["teacher_ord"].alias("teacher_ord"), q["quote_ord"].alias("quote_ord"), q["section"].alias("section"),
+                (F.call_function("instr", c["text"], q["quote"]) - 1).alias("start"), F.length(q["quote"]).alias("length"), q["quote"].alias("quote"),
+            ),
+        )
+        return F.struct(c["ctx_pos"].alias("ctx_pos"), c["title"].alias("title"), c["text"].alias("text"), spans.alias("spans"))
+
+    return F.transform(ctxs, of_context)
+
+
+NEAR = T.ArrayType(T.ArrayType(SPAN))
+
+
+@F.pandas_udf(NEAR)
+def _near_spans(texts: pd.Series, quotes: pd.Series) -> pd.Series:
+    """For each context of a question, the longest common substrings of its text with each of its quotes.
+
+    A quote is searched once per text; one that is null here is verbatim.
+    """
+    out = []
+    for of_contexts, of_quotes in zip(texts, quotes):
+        rows = []
+        for text, wanted in zip(of_contexts, of_quotes):
+            known: dict[str, dict] = {}
+            for q in wanted:
+                if q is not None and q not in known:
+                    start, length = longest_common(text, q)
+                    known[q] = {"start": start, "length": length}
+            rows.append([None if q is None else known[q] for q in wanted])
+        out.append(rows)
+    return pd.Series(out)
+
+
+def _swept(spans: Column, majority: Column) -> Column:
+    """``first, last, peak``: from the first to the last majority character, and the first character with most votes.
+
+    One pass over the spans' ends in order. A teacher votes while any of its
+    spans is open.
+    """
+    teachers = F.array_distinct(F.transform(spans, lambda s: s["teacher_ord"]))
+
+    def ends(s: Column) -> Column:
+        return F.array(
+            F.struct(s["start"].alias("at"), F.lit(1).alias("delta"), s["teacher_ord"].alias("teacher")),
+            F.struct(s["end"].alias("at"), F.lit(-1).alias("delta"), s["teacher_ord"].alias("teacher")),
+        )
+
+    none = F.lit(None).cast("int")
+
+    def swept(t: Column) -> Column:
+        start = F.struct(
+            F.transform(t, lambda x: F.lit(0)).alias("open"), F.lit(0).alias("votes"), none.alias("first"), none.alias("last"),
+            F.lit(0).alias("best"), none.alias("peak"),
+        )
+
+        def step(s: Column, e: Column) -> Column:
+            place = F.array_position(t, e["teacher"]).cast("int") - 1
+            now = F.get(s["open"], place)
+            change = F.when((e["delta"] > 0) & (now == 0), 1).when((e["delta"] < 0) & (now == 1), -1).otherwise(0)
+            votes = s["votes"] + change
+            return F.struct(
+                F.transform(s["open"], lambda n, i: F.when(i == place, n + e["delta"]).otherwise(n)).alias("open"),
+                votes.alias("votes"),
+                F.when(s["first"].isNull() & (votes >= majority), e["at"]).otherwise(s["first"]).alias("first"),
+                F.when((s["votes"] >= majority) & (votes < majority), e["at"]).otherwise(s["last"]).alias("last"),
+                F.greatest(s["best"], votes).alias("best"),
+                F.when(votes > s["best"], e["at"]).otherwise(s["peak"]).alias("peak"),
+            )
+
+        return F.aggregate(F.array_sort(F.flatten(F.transform(spans, ends))), start, step)
+
+    return bind(teachers, swept)
+
+
+def _voted(c: Column, majority: Column) -> Column:
+    """``ctx_pos, title, quote, votes`` of one context; the quote is null without a majority."""
+
+    def with_sweep(w: Column) -> Column:
+        quote = strip_space(F.substring(c["text"], w["first"] + 1, w["last"] - w["first"]))
+        over = F.filter(c["spans"], lambda s: (s["start"] <= w["peak"]) & (w["peak"] < s["end"]))
+        keyed = F.array_sort(F.transform(over, lambda s: F.struct(s["teacher_ord"].alias("teacher_ord"), (-s["quote_ord"]).alias("later"), s["section"].alias("section"))))
+        latest = bind(keyed, lambda k: F.filter(k, lambda x, i: (i == 0) | (F.get(k, i - 1)["teacher_ord"] != x["teacher_ord"])))
+        votes = F.transform(latest, lambda x: F.struct(x["teacher_ord"].alias("teacher_ord"), x["section"].alias("section")))
+        return F.struct(c["ctx_pos"].alias("ctx_pos"), c["title"].alias("title"), quote.alias("quote"), votes.alias("votes"))
+
+    return bind(_swept(c["spans"], majority), with_sweep)
+
+
+def _rendered(ctxs: Column, sections: Column) -> Column:
+    """Lines of the numbered contexts in their order."""
+
+    def line(x: Column) -> Column:
+        own = F.get(F.filter(ctxs, lambda c: c["ctx_pos"] == x["ctx_pos"]), F.lit(0))
+        return F.concat(x["section"], F.lit(" "), own["title"], F.lit("\n"), own["quote"])
+
+    return F.array_join(F.transform(F.array_sort(sections), line), "\n")
+
+
 def consolidate(contexts: DataFrame, answers: DataFrame, mode: str = "lcs", strict_compat: bool = False) -> DataFrame:
     """``qid, exemplar`` per question; questions with too few usable answers are dropped.
 
-    Parsed answers and spans are each needed several times and written once.
+    Contexts and answers meet by question, one exchange each; everything after
+    that is done within the row. Quotes that are not verbatim reach Python, a
+    question at a time; with ``verbatim`` they are left out.
     """
-    gathered = written(gather_answers(parse_answers(answers, strict_compat)), "answers")
-    gate = gathered.select("qid", "outcome", "majority")
-    usable = (
-        gathered.filter(F.col("outcome") == "open")
-        .select("qid", F.inline("answers"))
-        .filter(F.col("status") == "parsed")
-    )
-    spans = written(quote_spans(match_quotes(usable, contexts), mode), "spans")
-    votes = vote_counts(spans)
-    kept = majority_span(votes, gate, contexts)
-    grouped = context_votes(kept, peak_voters(votes, spans)).join(gate.select("qid", "majority"), "qid")
-    rendered = render_exemplar(kept, assign_sections(grouped))
-    return (
-        gate.filter(F.col("outcome") != "dropped")
-        .join(rendered, "qid", "left")
-        .select("qid", F.coalesce("exemplar", F.lit("")).alias("exemplar"))
-    )
+    gathered = gather_answers(parse_answers(answers, strict_compat)).filter(F.col("outcome") != "dropped")
+    entry = F.struct("ctx_pos", "title", "text")
+    lists = contexts.filter(F.length("title") >= MIN_TEXT).groupBy("qid").agg(F.array_sort(F.collect_list(entry)).alias("ctxs"))
+    usable = F.when(F.col("outcome") == "open", F.col("answers"))
+    quotes = F.coalesce(_matches(usable), _matches(F.slice("answers", 1, 0)))
+    rows = gathered.select("qid", "majority", quotes.alias("quotes")).join(lists, "qid", "left")
+    rows = rows.select("qid", "majority", _spans_in(F.col("ctxs"), F.col("quotes"), mode).alias("ctxs"))
+    if mode != "verbatim":
+        open_ = F.transform("ctxs", lambda c: F.transform(c["spans"], lambda s: F.when(s["start"] < 0, s["quote"])))
+        some = F.exists("ctxs", lambda c: F.exists(c["spans"], lambda s: s["start"] < 0))
+        texts = F.transform("ctxs", lambda c: c["text"])
+        rows = rows.withColumn("near", _near_spans(F.when(some, texts).otherwise(F.slice(texts, 1, 0)), F.when(some, open_).otherwise(F.slice(open_, 1, 0))))
+
+        def placed(c: Column, i: Column) -> Column:
+            def span(s: Column, j: Column) -> Column:
+                near = F.get(F.get("near", i), j)
+                return s.withField("start", F.coalesce(near["start"], s["start"])).withField("length", F.coalesce(near["length"], s["length"]))
+
+            return c.withField("spans", F.transform(c["spans"], span))
+
+        rows = rows.withColumn("ctxs", F.transform("ctxs", placed))
+
+    def ended(c: Column) -> Column:
+        spans = F.transform(
+            F.filter(c["spans"], lambda s: s["length"] > 0),
+            lambda s: F.struct(s["teacher_ord"].alias("teacher_ord"), s["quote_ord"].alias("quote_ord"), s["section"].alias("section"), s["start"].alias("start"), (s["start"] + s["length"]).alias("end")),
+        )
+        return c.withField("spans", spans)
+
+    quoted = F.filter(F.transform("ctxs", ended), lambda c: F.size(c["spans"]) > 0)
+    voted = F.transform(quoted, lambda c: _voted(c, F.col("majority")))
+    kept = F.filter(voted, lambda c: F.length(c["quote"]) >= MIN_QUOTE)
+    rows = rows.select("qid", "majority", kept.alias("ctxs"))
+    rows = rows.withColumn("sections", section_numbers(F.col("ctxs"), F.col("majority")))
+    return rows.select("qid", F.coalesce(_rendered(F.col("ctxs"), F.col("sections")), F.lit("")).alias("exemplar"))
 
 
 def unpivot_teachers(records: DataFrame, teachers: list[str], key: str = "qid") -> DataFrame:

@@ -1,14 +1,12 @@
 """Dense retrieval: exact and product-quantised top-k by inner product.
 
 Brute force needs every question next to every passage, but never as rows:
-blocks of vectors meet in numpy, and only the best ``k`` per question and task
-are emitted. Questions are broadcast in blocks of bounded size; passages are
-scanned in place, once per block.
+packed blocks of vectors meet in numpy, and only the best ``k`` per question and
+task are emitted.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text
+from .blocks import every_pair, matrix, packed
 
 BROADCAST_BYTES = 64 << 20
 #: Sums of products differ in their last digits with the order of addition; scores equal to so many are ties.
@@ -28,7 +27,7 @@ SCORE_DIGITS = 12
 #: Scores held at once, and bytes of one block of decoded or scored vectors.
 TILE = 1 << 22
 
-Scorer = Callable[[np.ndarray, pd.Series], np.ndarray]
+Scorer = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def _best(qids: np.ndarray, pids: np.ndarray, scores: np.ndarray, k: int) -> pd.DataFrame:
@@ -51,8 +50,8 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def _products(questions: np.ndarray, vectors: pd.Series) -> np.ndarray:
-    return questions @ _matrix(vectors).T
+def _products(questions: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    return questions @ vectors.T
 
 
 def rows_at_once(n_questions: int) -> int:
@@ -64,43 +63,38 @@ def _id_type(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 
 
-def _search(questions: DataFrame, passages: DataFrame, k: int, score: Scorer, block_bytes: int) -> DataFrame:
-    """Question blocks of bounded size go to every task in turn; passages are scanned where they lie.
+def _search(questions: DataFrame, passages: DataFrame, k: int, score: Scorer, bound: int) -> DataFrame:
+    """Question blocks go to every task, or lie on a grid with the passages' splits; passages stay where they are scanned.
 
-    Ids keep their type and order by it.
+    Ids keep their type and order by it. Rows without an id or a vector are left out.
     """
-    q, p = questions.select("qid", "embedding"), passages.select("pid", "embedding")
-    row = q.agg(F.sum(F.size("embedding")).alias("cells")).first()
-    blocks = max(1, math.ceil(8 * (row["cells"] or 0) / max(1, block_bytes)))
+    q, p = questions.select("qid", "embedding").dropna(), passages.select("pid", "embedding").dropna()
     schema = f"qid {_id_type(q, 'qid')}, pid {_id_type(p, 'pid')}, score double"
-    partial = None
-    for block in range(blocks):
-        part = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block)
-        found = _scan(part, p, k, score, schema)
-        partial = found if partial is None else partial.unionByName(found)
-    best = Window.partitionBy("qid").orderBy(F.col("score").desc(), "pid")
-    return partial.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-
-
-def _scan(q: DataFrame, p: DataFrame, k: int, score: Scorer, schema: str) -> DataFrame:
-    local = q.toPandas()  # one block, of the size that is broadcast
-    if local.empty:
-        return q.sparkSession.createDataFrame([], schema)
-    shared = q.sparkSession.sparkContext.broadcast((local["qid"].to_numpy(), _matrix(local["embedding"])))
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids, matrix = shared.value
-        step, best = rows_at_once(len(qids)), None
-        for batch in batches:
-            for at in range(0, len(batch), step):
-                part = batch.iloc[at : at + step]
-                scores = np.round(score(matrix, part["embedding"]), SCORE_DIGITS)
-                found = _best(qids, part["pid"].to_numpy(), scores, k)
-                best = found if best is None else _trim(pd.concat([best, found]), k)
-        if best is not None:
-            yield best
 
-    return p.mapInPandas(scan, schema)
+    def visit() -> Callable:
+        asked: dict = {}
+        best: dict = {}
+
+        def each(block: dict | None, group: int | None, few) -> Iterator[pd.DataFrame]:
+            if block is None:
+                yield from best.values()
+                return
+            if few is None:
+                return
+            if group not in asked:
+                asked[group] = np.concatenate([f["qid"] for f in few]), np.concatenate([matrix(f["data"], f["width"]) for f in few])
+            qids, vectors = asked[group]
+            own, step = matrix(block["data"], block["width"]), rows_at_once(len(qids))
+            for at in range(0, len(own), step):
+                scores = np.round(score(vectors, own[at : at + step]), SCORE_DIGITS)
+                found = _best(qids, np.asarray(block["pid"])[at : at + step], scores, k)
+                best[group] = _trim(pd.concat([best[group], found]), k) if group in best else found
+
+        return each
+
+    found, _ = every_pair(packed(p, ["pid"], "embedding"), packed(q, ["qid"], "embedding"), visit, schema, bound)
+    order = Window.partitionBy("qid").orderBy(F.col("score").desc(), "pid")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def topk_inner_product(
@@ -110,8 +104,8 @@ def topk_inner_product(
 
     Ids may have any orderable type. Ties go to the smaller passage id, so the
     result does not depend on how vectors are split into blocks. Fewer than
-    ``k`` passages give fewer rows. Questions beyond ``broadcast_bytes`` are
-    taken in blocks; no passage is ever moved.
+    ``k`` passages give fewer rows. Questions beyond ``broadcast_bytes`` meet the
+    passages' splits on a grid of tasks; no passage is shuffled.
     """
     return _search(questions, passages, k, _products, broadcast_bytes)
 
@@ -165,9 +159,9 @@ def encode_pq(passages: DataFrame, codebook: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.empty:
                 continue
-            matrix, codes, at = _matrix(batch["embedding"]), [], 0
+            vectors, codes, at = _matrix(batch["embedding"]), [], 0
             for book in books.value:
-                part = matrix[:, at : at + book.shape[1]]
+                part = vectors[:, at : at + book.shape[1]]
                 distance = (book**2).sum(axis=1) - 2 * part @ book.T
                 codes.append(distance.argmin(axis=1))
                 at += book.shape[1]
@@ -176,9 +170,9 @@ def encode_pq(passages: DataFrame, codebook: DataFrame) -> DataFrame:
     return passages.select("pid", "embedding").mapInPandas(assign, f"pid {_id_type(passages, 'pid')}, codes array<int>")
 
 
-def _looked_up(books: list[np.ndarray], questions: np.ndarray, codes: pd.Series) -> np.ndarray:
+def _looked_up(books: list[np.ndarray], questions: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Scores as sums of table entries: per part, the products of the questions with all its centroids."""
-    chosen = np.stack(codes.to_numpy())
+    chosen = codes.astype(np.int64)
     total, at = np.zeros((len(questions), len(chosen))), 0
     for part, book in enumerate(books):
         table = questions[:, at : at + book.shape[1]] @ book.T  # questions by centroids
@@ -193,8 +187,8 @@ def topk_pq(
     """Best ``k`` passages per question by inner product with the quantised vectors, which are never decoded."""
     books = questions.sparkSession.sparkContext.broadcast(_book_array(codebook))
 
-    def score(matrix: np.ndarray, column: pd.Series) -> np.ndarray:
-        return _looked_up(books.value, matrix, column)
+    def score(vectors: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        return _looked_up(books.value, vectors, chosen)
 
     return _search(questions, codes.select("pid", F.col("codes").alias("embedding")), k, score, broadcast_bytes)
 

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import every_pair, matrix, packed
+
 BLOCK_ROWS = 1 << 16
 TILE = 1 << 22
 
@@ -69,53 +69,55 @@ def inbatch_report(
     return batches.select(batch, "pos", "q", "k").groupBy(batch).applyInPandas(report, schema)
 
 
-def _scaled_sums(q: np.ndarray, n: np.ndarray, temperature: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per query: highest logit, sum of ``exp(logit - highest)``, sum of logits."""
-    logits = q @ n.T / temperature
-    top = logits.max(axis=1)
-    return top, np.exp(logits - top[:, None]).sum(axis=1), logits.sum(axis=1)
-
-
-def _sums_against(block: Broadcast, temperature: float) -> Callable[[Column], Column]:
-    @F.pandas_udf("top double, total double, plain double, n long")
-    def sums(q: pd.Series) -> pd.DataFrame:
-        negatives = block.value
-        step = max(1, TILE // len(negatives))
-        rows = [_scaled_sums(_stack(q.iloc[at : at + step]), negatives, temperature) for at in range(0, len(q), step)]
-        top, total, plain = (np.concatenate(c) for c in zip(*rows)) if rows else (np.zeros(0),) * 3
-        return pd.DataFrame({"top": top, "total": total, "plain": plain, "n": len(negatives)})
-
-    return sums
-
-
 def with_negatives(
-    pairs: DataFrame, negatives: DataFrame, temperature: float = 1.0, block_rows: int = BLOCK_ROWS
+    pairs: DataFrame, negatives: DataFrame, temperature: float = 1.0, block_rows: int = BLOCK_ROWS, columns: tuple[str, ...] = ("id",)
 ) -> DataFrame:
-    """``pairs`` with ``top, total, plain, n``: what a softmax needs to know of a query's negatives.
+    """``columns`` of ``pairs`` and ``top, total, plain, n``: what a softmax needs to know of a query's negatives.
 
-    Negatives are broadcast in blocks of at most about ``block_rows``; pairs
-    stay in place and meet all blocks in one pass, and no score is stored.
+    The highest logit, the sum of ``exp(logit - top)``, the sum of logits and
+    their number. Such states add up, so more than ``block_rows`` negatives are
+    split into groups; then ``columns`` must tell pairs apart. Without negatives ``top`` is minus
+    infinity and the rest zero.
     """
-    blocks = max(1, math.ceil(negatives.count() / block_rows))
-    parts = []
-    for b in range(blocks):
-        own = negatives if blocks == 1 else negatives.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-        local = own.select("embedding").toPandas()
-        if len(local):
-            shared = pairs.sparkSession.sparkContext.broadcast(_stack(local["embedding"]))
-            parts.append(_sums_against(shared, temperature)(F.col("q")))
-    named = pairs.withColumns({f"__n{i}": part for i, part in enumerate(parts)})
-    each = [F.col(f"__n{i}") for i in range(len(parts))]
-    top = F.greatest(*[e["top"] for e in each]) if len(each) > 1 else each[0]["top"]
-
-    def added(values: list[Column]) -> Column:
-        return sum(values[1:], values[0])
-
-    return named.withColumn("top", top).withColumns({
-        "total": added([e["total"] * F.exp(e["top"] - F.col("top")) for e in each]),
-        "plain": added([e["plain"] for e in each]),
-        "n": added([e["n"] for e in each]),
-    }).drop(*[f"__n{i}" for i in range(len(parts))])
+
+    def visit() -> Callable:
+        def each(block: dict | None, group: int | None, few) -> Iterator[pd.DataFrame]:
+            if block is None:
+                return
+            q = matrix(block["data"], block["width"])
+            top, total, plain, n = np.full(len(q), -np.inf), np.zeros(len(q)), np.zeros(len(q)), 0
+            for f in few if few is not None else ():
+                other = matrix(f["data"], f["width"])
+                n += len(other)
+                step = max(1, TILE // max(1, len(q)))
+                for at in range(0, len(other), step):
+                    logits = q @ other[at : at + step].T / temperature
+                    higher = np.maximum(top, logits.max(axis=1))
+                    total = total * np.exp(top - higher) + np.exp(logits - higher[:, None]).sum(axis=1)
+                    top, plain = higher, plain + logits.sum(axis=1)
+            yield pd.DataFrame({**{c: block[c] for c in columns}, "top": top, "total": total, "plain": plain, "n": n})
+
+        return each
+
+    kinds = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in columns)
+    blocks = packed(negatives.withColumn("one", F.lit(1)), ["one"], "embedding", 64 * block_rows)
+    width = negatives.agg(F.max(F.size("embedding"))).first()[0] or 1
+    schema = f"{kinds}, top double, total double, plain double, n long"
+    states, groups = every_pair(packed(pairs, columns, "q"), blocks, visit, schema, 8 * width * block_rows)
+    if groups == 1:
+        return states
+    every = states.groupBy(*columns).agg(F.collect_list(F.struct("top", "total", "plain", "n")).alias("s"))  # one per group of negatives
+    top = F.array_max("s.top")
+
+    def added(value: Callable[[Column], Column], zero: Column) -> Column:
+        return F.aggregate("s", zero, lambda acc, x: acc + value(x))
+
+    return every.withColumn("top", top).select(
+        *columns, "top",
+        added(lambda x: x["total"] * F.exp(x["top"] - F.col("top")), F.lit(0.0)).alias("total"),
+        added(lambda x: x["plain"], F.lit(0.0)).alias("plain"),
+        added(lambda x: x["n"], F.lit(0).cast("long")).alias("n"),
+    )
 
 
 def spread(column: str) -> Column:
@@ -133,19 +135,20 @@ def queue_report(
 ) -> DataFrame:
     """Loss, accuracy and spread of ``q`` with its own ``k`` against shared negatives.
 
-    ``pairs``: id, q, k; ``negatives``: id, embedding.
+    ``pairs``: id (one row each), q, k; ``negatives``: id, embedding. Without
+    negatives the loss is 0 and the accuracy 100; without pairs both are null.
     """
     products = F.zip_with("q", "k", lambda a, b: a.cast("double") * b.cast("double"))
     own = F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x) / temperature
-    rows = with_negatives(pairs, negatives, temperature, block_rows).withColumn("own", own)
+    pairs = pairs.withColumn("own", own)
+    rows = with_negatives(pairs, negatives, temperature, block_rows, ("id", "own"))
     peak = F.greatest("own", "top")
     log_sum = peak + F.log(F.exp(F.col("own") - peak) + F.col("total") * F.exp(F.col("top") - peak))
     mean_logit = (F.col("own") + F.col("plain")) / (F.col("n") + 1)
     loss = (log_sum - F.col("own")) * (1 - label_smoothing) + (log_sum - mean_logit) * label_smoothing
-    return rows.agg(
+    report = rows.agg(
         F.avg(loss).alias("loss"),
         (F.avg((F.col("own") >= F.col("top")).cast("int")) * 100).alias("accuracy"),
         F.count("*").alias("weight"),
-        spread("q").alias("stdq"),
-        spread("k").alias("stdk"),
     )
+    return report.join(pairs.agg(spread("q").alias("stdq"), spread("k").alias("stdk")), F.lit(True))  # one row each

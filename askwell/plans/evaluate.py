@@ -206,15 +206,50 @@ def e13_2(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", F.round("rouge2", 6).alias("rouge2"))
 
 
+# The table row of each reference token: raised where the tokens are equal, then the highest so far.
+LONGEST = """+ pairs as materialized (select id, regexp_extract_all(lower(pred), '[a-z0-9]+') as p, regexp_extract_all(lower(question), '[a-z0-9]+') as r from turns),
+  walk as (select id, 0 as i, list_transform(p, lambda x: 0) as seen from pairs
+    union all
+    select id, i, list_transform(raised, lambda x, j: list_max(raised[1:j])) from (
+      select w.id, w.i + 1 as i, list_transform(w.seen, lambda x, j: case when p[j] = r[w.i + 1] then coalesce(w.seen[j - 1], 0) + 1 else x end) as raised
+      from walk w join pairs using (id) where w.i < len(r))),
+  lcs as (select id, coalesce(seen[len(p)], 0) as n, len(p) + len(r) as size from walk join pairs using (id) where i = len(r)),
+  longest as (select id, case when n > 0 then 2.0 * n::double / size else 0 end as score from lcs)"""
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("with ", "with recursive ", 1)
+
+
+@query("e13_rougel", recursive(I.with_views("turns", then=LONGEST + " select id, round(score, 6) as rougel from longest")))
+def e13_l(spark: SparkSession, sf: str) -> DataFrame:
+    rows = A.rouge(I.turns(spark, sf), "id", "pred", "question", ["rougeL"])
+    return rows.select("id", F.round("rougeL", 6).alias("rougel"))
+
+
 @query("e13_rouge")
 def e13(spark: SparkSession, sf: str) -> DataFrame:
     return A.rouge(I.turns(spark, sf), "id", "pred", "question")
 
 
-@query("e14_bootstrap_mid")
+RESAMPLES = 1000
+BOOTSTRAP = LONGEST + f""", unigrams as (
+    select id, coalesce(2.0 * n::double / size, 0) as score from (select id, len(p) + len(r) as size from pairs) left join (
+      select id, sum(least(a.c, b.c)) as n from (select id, item, count(*) as c from (select id, unnest(p) as item from pairs) group by all) a
+      join (select id, item, count(*) as c from (select id, unnest(r) as item from pairs) group by all) b using (id, item) group by id) using (id)),
+  scored as (select id, u.score as rouge1, l.score as rougeL from unigrams u join longest l using (id)),
+  digests as (select s.*, b, md5(concat_ws('|', '0', id::varchar, b::varchar)) as d from scored s, (select unnest(range({RESAMPLES // A.DRAWS})) as b)),
+  units as (select rouge1, rougeL, b * {A.DRAWS} + j as resample, ('0x' || substr(d, 8 * j + 1, 8))::bigint as u from digests, (select unnest(range({A.DRAWS})) as j)),
+  drawn as (select *, len(list_filter({A.poisson_steps()}, lambda x: u >= x)) as copies from units),
+  means as (select resample, sum(rouge1 * copies) / sum(copies) as rouge1, sum(rougeL * copies) / sum(copies) as rougeL from drawn where copies > 0 group by resample)
+  select 'rouge1' as metric, round(quantile_cont(rouge1, 0.5), 6) as mid from means union all select 'rougeL', round(quantile_cont(rougeL, 0.5), 6) from means"""
+
+
+@query("e14_bootstrap_mid", recursive(I.with_views("turns", then=BOOTSTRAP)))
 def e14(spark: SparkSession, sf: str) -> DataFrame:
     scores = A.rouge(I.turns(spark, sf), "id", "pred", "question", ["rouge1", "rougeL"])
-    return A.bootstrap_mid(scores, "id", ["rouge1", "rougeL"])
+    mids = A.bootstrap_mid(scores, "id", ["rouge1", "rougeL"], RESAMPLES)
+    return mids.select("metric", F.round("mid", 6).alias("mid"))
 
 
 KS = (1, 3, 10, 100)

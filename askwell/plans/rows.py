@@ -72,7 +72,11 @@ def s07(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "s08_read_contrastive",
-    I.with_views("pools", then="select question, count(*) as lines, count(distinct id) as examples from pools group by question"),
+    I.with_views(
+        "pools",
+        "example_ids",
+        then="select e.question, count(p.id) as lines, count(distinct e.id) as examples from example_ids e left join pools p on p.id = e.id group by e.question",
+    ),
 )
 def s08(spark: SparkSession, sf: str) -> DataFrame:
     path = I.scratch(spark, "s08")
@@ -83,6 +87,28 @@ def s08(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("question").agg(F.sum(lines).alias("lines"), F.count("*").alias("examples"))
 
 
+@query(
+    "s08_read_contrastive_maxload",
+    I.with_views(
+        "pools",
+        "example_ids",
+        then="""+ loaded as (select id, question from example_ids order by id limit 400)
+        select e.question, count(p.id) as lines, count(distinct e.id) as examples from loaded e left join pools p on p.id = e.id group by e.question""",
+    ),
+)
+def s08_maxload(spark: SparkSession, sf: str) -> DataFrame:
+    """The first examples of two paths of several files, in file order."""
+    ordered = I.written(I.examples(spark, sf).withColumn("n", F.col("id")), "examples")
+    middle = ordered.agg(F.expr("percentile_disc(0.2) within group (order by n)")).first()[0]
+    paths = [I.scratch(spark, "s08a"), I.scratch(spark, "s08b")]
+    for path, part in zip(paths, (ordered.filter(F.col("n") < middle), ordered.filter(F.col("n") >= middle))):
+        S.write_records(part.orderBy("n").drop("id", "n"), path)
+    parts = ("positive_ctxs", "negative_ctxs", "hard_negative_ctxs")
+    lines = sum((F.size(p) for p in parts), F.lit(0))
+    rows = S.read_contrastive(spark, paths, maxload=400)
+    return rows.groupBy("question").agg(F.sum(lines).alias("lines"), F.count("*").alias("examples"))
+
+
 @query(
     "s09_read_ir_dataset",
     """select source as query_id, count(*) as docs, sum(length(text))::bigint as chars, count(quality) as judged

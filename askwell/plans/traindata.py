@@ -16,8 +16,8 @@ def ids(column: str) -> Column:
 
 
 IDS = "md5(coalesce(string_agg(token::varchar, ',' order by i), ''))"
-SIZES = """+ sizes as (select id, max(case when kind = 'random' then pool else 0 end) as n_rand, max(case when kind = 'hard' then pool else 0 end) as n_hard,
-  max(case when kind = 'positive' then pool else 0 end) as n_pos from pools group by id),
+SIZES = """+ sizes as (select e.id, max(case when kind = 'random' then pool else 0 end) as n_rand, max(case when kind = 'hard' then pool else 0 end) as n_hard,
+  max(case when kind = 'positive' then pool else 0 end) as n_pos from example_ids e left join pools p on p.id = e.id group by e.id),
   draws as (select id, n_rand, n_hard, n_pos, unnest(range(4)) as d from sizes),
   quota as (select id, any_value(n_rand) as n_rand, any_value(n_pos) as n_pos, least(count(*) filter ({u} < 0.5), greatest(any_value(n_hard) - 1, 0)) as hard_n from draws group by id),
   quotas as (select id, n_pos, hard_n, least(4 - hard_n, n_rand) as rand_n from quota)""".replace(
@@ -25,7 +25,7 @@ SIZES = """+ sizes as (select id, max(case when kind = 'random' then pool else 0
 )
 
 
-@query("d01_negative_quota", I.with_views("pools", then=SIZES + " select id, hard_n::int as n_hard, rand_n::int as n_random from quotas"))
+@query("d01_negative_quota", I.with_views("pools", "example_ids", then=SIZES + " select id, hard_n::int as n_hard, rand_n::int as n_random from quotas"))
 def d01(spark: SparkSession, sf: str) -> DataFrame:
     quota = D.negative_quota(
         F.col("id").cast("string"), F.col("negative_ctxs"), F.col("hard_negative_ctxs"), 4, 0.5, 1, seed=3
@@ -55,7 +55,13 @@ def texts(column: str) -> Column:
 
 @query(
     "d02_sample_triples",
-    I.with_views("pools", then=TRIPLES + " select g.id, g.question, md5(g.text) as gold_md5, md5(coalesce(negatives, '')) as negatives_md5, coalesce(n, 0) as n from gold g left join negs using (id)"),
+    I.with_views(
+        "pools",
+        "example_ids",
+        then=TRIPLES
+        + """ select e.id, e.question, md5(g.text) as gold_md5, md5(coalesce(negatives, '')) as negatives_md5, coalesce(n, 0) as n
+        from example_ids e left join gold g on g.id = e.id left join negs on negs.id = e.id""",
+    ),
 )
 def d02(spark: SparkSession, sf: str) -> DataFrame:
     return triples(spark, sf).select(
@@ -65,21 +71,23 @@ def d02(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "d02_sample_triples_eval",
-    I.with_views("pools", then="""select p.id, md5(p.text) as gold_md5, md5(coalesce(n.text, '')) as negatives_md5 from pools p
-        left join (select * from pools where kind = 'random' and place = 0) n on n.id = p.id where p.kind = 'positive' and p.place = 0"""),
+    I.with_views("pools", "example_ids", then="""select e.id, md5(p.text) as gold_md5, md5(coalesce(n.text, '')) as negatives_md5 from example_ids e
+        left join (select * from pools where kind = 'positive' and place = 0) p on p.id = e.id
+        left join (select * from pools where kind = 'random' and place = 0) n on n.id = e.id"""),
 )
 def d02_eval(spark: SparkSession, sf: str) -> DataFrame:
     rows = D.sample_triples(I.examples(spark, sf), "id", training=False)
     return rows.select("id", F.md5("gold.text").alias("gold_md5"), F.md5(texts("negatives")).alias("negatives_md5"))
 
 
-PLAIN = f"""+ shown as (select id, question, kind, place, {sql_normalize_text("title || ' ' || text")} as passage from pools)"""
+PLAIN = f"""+ shown as (select id, question, kind, place, {sql_normalize_text("title || ' ' || text")} as passage from pools),
+  golds as (select e.id, e.question, passage from example_ids e left join (select * from shown where kind = 'positive' and place = 0) p on p.id = e.id)"""
 
 
 @query(
     "d03_normalize_triples",
-    I.with_views("pools", then=PLAIN + """ select p.id, p.question as query, md5(p.passage) as gold_md5, md5(coalesce(n.passage, '')) as negatives_md5 from shown p
-        left join (select * from shown where kind = 'random' and place = 0) n on n.id = p.id where p.kind = 'positive' and p.place = 0"""),
+    I.with_views("pools", "example_ids", then=PLAIN + """ select p.id, p.question as query, md5(p.passage) as gold_md5, md5(coalesce(n.passage, '')) as negatives_md5 from golds p
+        left join (select * from shown where kind = 'random' and place = 0) n on n.id = p.id"""),
 )
 def d03(spark: SparkSession, sf: str) -> DataFrame:
     rows = D.normalize_triples(D.sample_triples(I.examples(spark, sf), "id", training=False))
@@ -90,8 +98,9 @@ def d03(spark: SparkSession, sf: str) -> DataFrame:
     "d04_batch_layout",
     I.with_views(
         "pools",
+        "example_ids",
         then=PLAIN
-        + """, placed as (select id, question, passage as gold, (row_number() over (order by id) - 1) // 16 as batch from shown where kind = 'positive' and place = 0),
+        + """, placed as (select id, question, passage as gold, (row_number() over (order by id) - 1) // 16 as batch from golds),
         negs as (select id, passage from shown where kind = 'random' and place = 0)
         select batch, string_agg(question, ',' order by p.id) as queries, md5(string_agg(gold, '|' order by p.id) || coalesce('|' || string_agg(n.passage, '|' order by p.id), '')) as passages_md5
         from placed p left join negs n on n.id = p.id group by batch""",

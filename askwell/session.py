@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
@@ -28,6 +29,21 @@ def build_session(app: str = "askwell", cores: str = "*", shuffle_partitions: in
     return spark
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many parts as there are cores.
+
+    A small table in few files would otherwise leave cores idle; a table with
+    enough splits stays where it is. Filters and column choice still reach the scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def broadcast_within(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast if its counted rows are within the bound."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder every executor can reach: below the one the cluster names.
 

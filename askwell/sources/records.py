@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed
-from ..operators.ordering import with_position
+from ..session import broadcast_within, written
 
 TSV = {"sep": "\t", "quote": '"', "escape": '"'}
 PASSAGE = T.StructType(
@@ -125,17 +125,23 @@ TOKENS = T.StructType([T.StructField("tokens", T.ArrayType(T.IntegerType()))])
 
 
 def in_file_order(df: DataFrame) -> DataFrame:
-    """Adds ``__at``: a number that rises with file name, place of the split in its file, and line.
+    """Adds ``__pos``: each row's number, from 1, in the order of file names and lines.
 
-    ``df`` comes straight from a reader. Splits are packed into tasks by size;
-    within one, rows keep their order.
+    ``df`` comes straight from a reader. Rows are counted per split; what lies
+    before a split is the sum of the files before its own (one row per file, as
+    many as the reader lists) and of the splits before it in its file. Within a
+    split rows keep their order.
     """
     split = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start")]
-    rows = df.select("*", *split, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__line"))
-    order = Window.orderBy("__file", "__start")  # one row per split
-    places = rows.select("__file", "__start").distinct().withColumn("__n", F.row_number().over(order))
-    at = F.shiftleft(F.col("__n").cast("long"), 33) + F.col("__line")
-    return rows.join(F.broadcast(places), ["__file", "__start"]).withColumn("__at", at).drop("__file", "__start", "__line", "__n")
+    rows = df.select("*", *split, F.monotonically_increasing_id().alias("__line"))
+    splits = written(rows.groupBy("__file", "__start").agg(F.count("*").alias("n"), F.min("__line").alias("first")), "splits")
+    earlier = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+    files = splits.groupBy("__file").agg(F.sum("n").alias("n")).select("__file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("files"))
+    inside = Window.partitionBy("__file").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)
+    before = splits.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(broadcast_within(files), "__file")
+    places = before.select("__file", "__start", (F.col("files") + F.col("inside") - F.col("first") + 1).alias("__add"))
+    placed = rows.join(broadcast_within(places), ["__file", "__start"])
+    return placed.withColumn("__pos", F.col("__line") + F.col("__add")).drop("__file", "__start", "__line", "__add")
 
 
 def read_contrastive(spark: SparkSession, paths: Sequence[str], maxload: int | None = None) -> DataFrame:
@@ -144,7 +150,7 @@ def read_contrastive(spark: SparkSession, paths: Sequence[str], maxload: int | N
     for path in paths:
         part = read_records(spark, path, CONTRASTIVE)
         if maxload:
-            part = with_position(in_file_order(part), "__at", name="__pos").filter(F.col("__pos") <= room).drop("__at", "__pos")
+            part = in_file_order(part).filter(F.col("__pos") <= room).drop("__pos")
             room -= part.count()
         kept.append(part)
         if maxload and room <= 0:
