@@ -25,6 +25,17 @@ MATCHED = """, matched as (select q.qid, c.ctx_pos, q.teacher_ord, q.quote_ord,
   where length(q.title) >= 3 and length(q.quote) >= 3 and q.section <> '*')"""
 VERBATIM = """, spans as (select qid, ctx_pos, teacher_ord, instr(text, quote) - 1 as s, instr(text, quote) - 1 + length(quote) as e, section, quote_ord
   from matched where contains(text, quote) and regexp_matches(quote, '[\\p{L}\\p{M}\\p{N}\\p{Pc}]'))"""
+# Equal characters on one diagonal without a gap are a common substring; the longest one counts, the earliest of these.
+NEAREST = """, searched as materialized (select text, quote, row_number() over () as k from (select distinct text, quote from matched where not contains(text, quote))),
+  text_chars as (select k, unnest(string_split(text, '')) as c, generate_subscripts(string_split(text, ''), 1) as i from searched),
+  quote_chars as (select k, unnest(string_split(quote, '')) as c, generate_subscripts(string_split(quote, ''), 1) as j from searched),
+  cells as (select k, i - j as d, i, i - row_number() over (partition by k, i - j order by i) as run from text_chars join quote_chars using (k, c)),
+  runs as (select k, min(i) - 1 as s, count(*) as n from cells group by k, d, run),
+  nearest as (select k, arg_min(s, (-n, s)) as s, max(n) as n from runs group by k),
+  spans as (select qid, ctx_pos, teacher_ord, s, s + n as e, section, quote_ord from (
+    select m.*, case when contains(m.text, m.quote) then instr(m.text, m.quote) - 1 else nearest.s end as s,
+           case when contains(m.text, m.quote) then length(m.quote) else nearest.n end as n
+    from matched m left join searched x on x.text = m.text and x.quote = m.quote left join nearest using (k)) where n > 0)"""
 VOTES = """, marks as (select distinct qid, ctx_pos, s as mark from spans union select distinct qid, ctx_pos, e from spans),
   pieces as (select qid, ctx_pos, mark as s, lead(mark) over (partition by qid, ctx_pos order by mark) as e from marks),
   votes as (select p.qid, p.ctx_pos, p.s, p.e, count(distinct t.teacher_ord) as votes from pieces p
@@ -108,6 +119,12 @@ def v03(spark: SparkSession, sf: str) -> DataFrame:
     return Steps(spark, sf).spans()
 
 
+@query("v03_quote_span_near", statement(NEAREST, select=' select qid, ctx_pos, teacher_ord, quote_ord, section, s as "start", e as "end" from spans'))
+def v03_near(spark: SparkSession, sf: str) -> DataFrame:
+    """Every quote in every context whose title contains its title, verbatim or not."""
+    return V.quote_spans(Steps(spark, sf).matched())
+
+
 @query("v03_quote_span_lcs")
 def v03_lcs(spark: SparkSession, sf: str) -> DataFrame:
     """Quotes whose first blank was dropped, so that no quote of two words is verbatim."""
@@ -196,6 +213,14 @@ def v10_wide(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("qid", "lang", F.md5("exemplar").alias("exemplar_md5"))
 
 
-@query("v10_consolidate_lcs")
+@query(
+    "v10_consolidate_lcs",
+    statement(
+        NEAREST, VOTES, SPAN, PEAK, PAIRS, SECTIONS, EXEMPLARS,
+        select=" select g.qid, md5(coalesce(exemplar, '')) as exemplar_md5 from gate g left join rendered r on r.qid = g.qid where outcome <> 'dropped'",
+        recursive=True,
+    ),
+)
 def v10_lcs(spark: SparkSession, sf: str) -> DataFrame:
-    return V.consolidate(I.teacher_contexts(spark, sf), I.teacher_answers(spark, sf))
+    out = V.consolidate(I.teacher_contexts(spark, sf), I.teacher_answers(spark, sf))
+    return out.select("qid", F.md5("exemplar").alias("exemplar_md5"))
