@@ -408,7 +408,7 @@ def _near_spans(texts: pd.Series, quotes: pd.Series) -> pd.Series:
     out = []
     for of_contexts, of_quotes in zip(texts, quotes):
         rows = []
-        for text, wanted in zip(of_contexts, of_quotes):
+        for text, wanted in zip(of_contexts, of_quotes) if of_contexts is not None else ():
             known: dict[str, dict] = {}
             for q in wanted:
                 if q is not None and q not in known:

@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -118,20 +117,51 @@ def subvector(vector: Column, part: int, width: int) -> Column:
 
 
 def train_codebook(passages: DataFrame, m: int, bits: int, seed: int = 7, iterations: int = 8) -> DataFrame:
-    """Centroids ``(part, code, centroid)`` per sub-vector, learnt on all rows."""
-    dim = passages.select(F.size("embedding").alias("d")).first()["d"]
-    if dim % m:
+    """Centroids ``(part, code, centroid)`` per sub-vector, by Lloyd's steps on all rows.
+
+    Every step is one pass for all parts: a task adds up its vectors per part and
+    nearest centroid, and the sums merge by cell. A centroid nothing is nearest
+    to stays. The start is a seeded choice of vectors, as many as the codebook has.
+    """
+    shape = passages.select(F.size("embedding").alias("d")).first()
+    dim = shape["d"] if shape else 0
+    if not dim or dim % m:
         raise ValueError(f"{dim} dimensions do not split into {m} parts")
-    width = dim // m
-    parts = [array_to_vector(subvector(F.col("embedding"), i, width)).alias(f"part{i}") for i in range(m)]
-    batch = passages.select(*parts).persist()  # read once per iteration and part
-    books = []
-    for part in range(m):
-        means = KMeans(k=2**bits, seed=seed + part, maxIter=iterations, initMode="random", featuresCol=f"part{part}")
-        centres = means.fit(batch).clusterCenters()
-        books += [(part, code, [float(x) for x in centre]) for code, centre in enumerate(centres)]
-    batch.unpersist()
-    return passages.sparkSession.createDataFrame(books, "part int, code int, centroid array<double>")
+    spark, size, width = passages.sparkSession, 2**bits, dim // m
+    vectors = passages.select("embedding").dropna()
+    drawn = vectors.orderBy(F.xxhash64(F.lit(seed), "embedding")).limit(2 * size).collect()
+    start = list(dict.fromkeys(tuple(map(float, r[0])) for r in drawn))[:size]
+    book = np.array([start[i % len(start)] for i in range(size)]).reshape(size, m, width).transpose(1, 0, 2).copy()
+    for _ in range(iterations):
+        shared = spark.sparkContext.broadcast(book)
+
+        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            centres = shared.value
+            total, n = np.zeros((m, size, width)), np.zeros((m, size), np.int64)
+            for batch in batches:
+                if batch.empty:
+                    continue
+                every = _matrix(batch["embedding"]).reshape(len(batch), m, width)
+                for part in range(m):
+                    nearest = _nearest(every[:, part], centres[part])
+                    n[part] += np.bincount(nearest, minlength=size)
+                    for d in range(width):
+                        total[part, :, d] += np.bincount(nearest, every[:, part, d], size)
+            part, code = np.nonzero(n)
+            yield pd.DataFrame({"part": part, "code": code, "total": list(total[part, code]), "n": n[part, code]})
+
+        cells = vectors.mapInPandas(sums, "part int, code int, total array<double>, n long").groupBy("part", "code")
+        merged = cells.agg(vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"), F.sum("n").alias("n"))
+        book = book.copy()
+        for row in merged.collect():  # one per centroid
+            book[row["part"], row["code"]] = np.array(row["total"]) / row["n"]
+        shared.unpersist()
+    rows = [(part, code, [float(x) for x in book[part, code]]) for part in range(m) for code in range(size)]
+    return spark.createDataFrame(rows, "part int, code int, centroid array<double>")
+
+
+def _nearest(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((centres**2).sum(axis=1) - 2 * vectors @ centres.T).argmin(axis=1)
 
 
 def codebook_of(vectors: DataFrame, m: int) -> DataFrame:
@@ -161,9 +191,7 @@ def encode_pq(passages: DataFrame, codebook: DataFrame) -> DataFrame:
                 continue
             vectors, codes, at = _matrix(batch["embedding"]), [], 0
             for book in books.value:
-                part = vectors[:, at : at + book.shape[1]]
-                distance = (book**2).sum(axis=1) - 2 * part @ book.T
-                codes.append(distance.argmin(axis=1))
+                codes.append(_nearest(vectors[:, at : at + book.shape[1]], book))
                 at += book.shape[1]
             yield pd.DataFrame({"pid": batch["pid"], "codes": list(np.stack(codes, axis=1).astype(np.int32))})
 
@@ -193,6 +221,14 @@ def topk_pq(
     return _search(questions, codes.select("pid", F.col("codes").alias("embedding")), k, score, broadcast_bytes)
 
 
+def recall(wanted: DataFrame, found: DataFrame) -> DataFrame:
+    """``wanted, found, recall``: the share of the hits ``wanted`` (qid, pid) that are among ``found``."""
+    there = found.select("qid", "pid", F.lit(1).alias("__there"))
+    both = wanted.select("qid", "pid").join(there, ["qid", "pid"], "left")
+    n, hit = F.count("*"), F.count("__there")
+    return both.agg(n.alias("wanted"), hit.alias("found"), F.round(hit / n, 6).alias("recall"))
+
+
 # Results and vectors.
 
 

@@ -6,8 +6,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,10 +118,11 @@ def with_negatives(
     )
 
 
-def spread(column: str) -> Column:
-    """Mean over dimensions of the sample standard deviation, as an aggregate."""
-    deviation = vector_to_array(Summarizer.std(array_to_vector(F.transform(column, lambda x: x.cast("double")))))
-    return F.aggregate(deviation, F.lit(0.0), lambda acc, x: acc + x) / F.size(deviation)
+def spreads(df: DataFrame, **named: str) -> DataFrame:
+    """One row: per name, the mean over dimensions of its column's sample standard deviation; null without rows."""
+    cells = F.arrays_zip(*[F.transform(c, lambda x: x.cast("double")).alias(n) for n, c in named.items()])
+    per_dim = df.select(F.posexplode(cells).alias("dim", "x")).groupBy("dim")
+    return per_dim.agg(*[F.stddev_samp(f"x.{n}").alias(n) for n in named]).agg(*[F.avg(n).alias(n) for n in named])
 
 
 def queue_report(
@@ -151,4 +150,4 @@ def queue_report(
         (F.avg((F.col("own") >= F.col("top")).cast("int")) * 100).alias("accuracy"),
         F.count("*").alias("weight"),
     )
-    return report.join(pairs.agg(spread("q").alias("stdq"), spread("k").alias("stdk")), F.lit(True))  # one row each
+    return report.join(spreads(pairs, stdq="q", stdk="k"), F.lit(True))  # one row each
