@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bm25, byte_bpe, lang_id, lexical, mixing, packing, pii, pitman_yor, quality, simhash, suffix_dedup, turn_trie, warc
-from .common import shared_folder
+from .common import kept, remove_folder, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,7 +62,9 @@ def op10_warc_archive(spark: SparkSession, sf: str) -> DataFrame:
     """Writes the pages to archives in the shared folder and reads them back."""
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_archive(read(spark, sf, "pages"), folder)
-    return warc.read_archive(spark, folder, payloads=False).drop("payload", "url")
+    found = kept(warc.read_archive(spark, folder, payloads=False).drop("payload", "url"))
+    remove_folder(spark, folder)
+    return found
 
 
 def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
 import uuid
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import kept, partitions
@@ -19,6 +21,8 @@ from .common import kept, partitions
 LEAST = 1000
 #: Payload bytes of a shard, compressed bytes after which a file is closed, and most cells that size shards.
 SHARD_BYTES, FILE_BYTES, CELLS = 16 << 20, 32 << 20, 4096
+#: Parts that a cell with too many bytes is cut into, and about how many shards there are at most.
+SPLIT, MOST_SHARDS = 64, 50_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: First half of every record id; the other half is the page's number.
@@ -106,25 +110,53 @@ class Roll:
         return self.name, self.size, self.records, self.sum.hexdigest()
 
 
-def shard_of(rows: DataFrame, shard_bytes: int) -> Column:
-    """A shard number that grows with the page's; bounds follow from the bytes in equal cells of page numbers alone."""
-    low, high, total = rows.agg(F.min("page_id"), F.max("page_id"), F.sum("bytes")).first()
+def cell_of(column: str, starts: list[int]) -> Bucketizer:
+    """The number of the last of ``starts`` that isn't above a number; numbers below the first are in its cell."""
+    cuts = sorted({float(s) for s in starts[1:]}) or [sys.float_info.max]  # at least one is asked for
+    return Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol=column, outputCol="__cell")
+
+
+def shard_starts(rows: DataFrame, shard_bytes: int) -> list[int]:
+    """The first page number of every shard; they follow from the bytes per page number alone.
+
+    Equal cells of page numbers are counted, and those with more bytes than a
+    shard are cut and counted again, so that numbers may lie close together or
+    far apart. Neighbouring cells then fill shards in order.
+    """
+    named = rows.filter("page_id is not null").select("page_id", F.col("page_id").cast("double").alias("__at"), "bytes")
+    low, high, total = named.agg(F.min("page_id"), F.max("page_id"), F.sum("bytes")).first()
     if low is None:
-        return F.lit(0)
+        return [0]
+    limit = max(shard_bytes, total // MOST_SHARDS)
     width = (high - low) // CELLS + 1
-    cell = F.floor((F.col("page_id") - low) / width).cast("int")
-    per_cell = {r[0]: r[1] for r in rows.filter("page_id is not null").groupBy(cell.alias("c")).agg(F.sum("bytes")).collect()}
-    limit = max(shard_bytes, total // 50_000)
-    shards, number, filled = [], 0, 0
-    for c in range((high - low) // width + 1):
-        size = per_cell.get(c, 0)
-        if filled and filled + size > limit:
-            number, filled = number + 1, 0
-        filled += size
-        shards.append(number)
-    numbers = F.array(*[F.lit(s) for s in shards])
-    # Pages without a number go to any shard, before the others.
-    return F.coalesce(F.element_at(numbers, cell + 1), F.pmod(F.xxhash64("sha"), F.lit(number + 1)).cast("int"))
+    cells = {start: width for start in range(low, high + 1, width)}
+    while True:
+        starts = sorted(cells)
+        found = cell_of("__at", starts).transform(named).groupBy("__cell").agg(F.sum("bytes").alias("n")).collect()
+        size = {int(r["__cell"]): r["n"] for r in found}
+        distinct = [s for i, s in enumerate(starts) if not i or i == 1 or float(s) > float(starts[i - 1])]
+        heavy = [s for i, s in enumerate(distinct) if size.get(i, 0) > limit and cells[s] > 1]
+        if not heavy:
+            break
+        for start in heavy:
+            whole = cells.pop(start)
+            part = -(-whole // SPLIT)
+            cells.update({s: min(part, start + whole - s) for s in range(start, start + whole, part)})
+    out, filled = [low], 0
+    for i, start in enumerate(distinct):
+        if filled and filled + size.get(i, 0) > limit:
+            out.append(start)
+            filled = 0
+        filled += size.get(i, 0)
+    return out
+
+
+def with_shard(rows: DataFrame, starts: list[int]) -> DataFrame:
+    """``rows`` with ``shard``, which grows with the page's number; pages without one go to any, before the others."""
+    at = rows.withColumn("__at", F.coalesce(F.col("page_id").cast("double"), F.lit(0.0)))
+    any_ = F.pmod(F.xxhash64("sha"), F.lit(len(starts))).cast("int")
+    shard = F.when(F.col("page_id").isNull(), any_).otherwise(F.col("__cell").cast("int"))
+    return cell_of("__at", starts).transform(at).withColumn("shard", shard).drop("__at", "__cell")
 
 
 def write_archive(
@@ -147,19 +179,19 @@ def write_archive(
     payload = F.encode(F.coalesce("html", F.lit("")), "utf-8")
     known = pages.select("page_id", "url", payload.alias("payload")).withColumn("sha", F.sha2("payload", 256))
     slim = kept(known.select("page_id", "sha", F.octet_length("payload").alias("bytes")))
-    shard = shard_of(slim, shard_bytes)
+    starts = shard_starts(slim, shard_bytes)
     keepers = (
         slim.filter(F.col("bytes") >= least).groupBy("sha").agg(F.max("page_id").alias("refers"), F.count("*").alias("n"))
         .filter("n > 1 and refers is not null").drop("n")
     )
     again = slim.join(keepers, "sha").filter("page_id is null or page_id <> refers").distinct()
-    decisions = again.select(
-        shard.alias("shard"), "page_id", F.lit(0).alias("tag"), "sha", F.lit(None).cast("string").alias("url"),
+    decisions = with_shard(again, starts).select(
+        "shard", "page_id", F.lit(0).alias("tag"), "sha", F.lit(None).cast("string").alias("url"),
         F.lit(None).cast("binary").alias("payload"), "refers",
     )
-    bodies = known.select(shard.alias("shard"), "page_id", F.lit(1).alias("tag"), "sha", "url", "payload", F.lit(None).cast("long").alias("refers"))
+    bodies = with_shard(known, starts).select("shard", "page_id", F.lit(1).alias("tag"), "sha", "url", "payload", F.lit(None).cast("long").alias("refers"))
     order = ["shard", "page_id", "tag", "sha", "url"]
-    rows = decisions.unionByName(bodies).repartition(partitions(spark), "shard").sortWithinPartitions(*order)
+    rows = decisions.unionByName(bodies).repartitionById(len(starts), "shard").sortWithinPartitions(*order)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         roll, open_shard, number, page, refers, copy = None, None, 0, None, {}, 0

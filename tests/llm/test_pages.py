@@ -76,3 +76,13 @@ def test_damage_is_found():
         warc.parse(good.replace(b"payload\r\n\r\n", b"paxload\r\n\r\n"))
     with pytest.raises(ValueError):
         list(warc.members(data[:-5]))
+
+
+def test_shards_follow_bytes_however_page_numbers_lie(spark):
+    html = "<p>" + "x" * 500
+    rows = [(i, "http://a/", f"{html}{i}") for i in range(2000)] + [(10**15, "http://far/", html), (-(10**15) + 7, "http://low/", html), (2**62, None, html)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    folder = f"file://{shared_folder(spark).removeprefix('file://')}/warc-test-{uuid.uuid4().hex}"
+    manifest = warc.write_archive(pages, folder, shard_bytes=50_000, file_bytes=1 << 30).collect()
+    assert 20 <= len(manifest) <= 60 and max(r["records"] for r in manifest) <= 110
+    assert read(spark, folder) == expected(rows, 1000)
