@@ -27,8 +27,7 @@ WHITE_SPACE = "\t\n\u000b\u000c\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680" +
     map(chr, [*range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 )
 
-# ASCII punctuation and articles deleted from answers.
-PUNCTUATION_CLASS = r"[!-/:-@\[-`{-~]"
+# Articles deleted from answers.
 ARTICLES = ("a", "an", "the")
 
 # Control tokens removed from generated text.

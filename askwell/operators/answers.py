@@ -50,19 +50,45 @@ def dataset_shapes(named: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+#: Items up to which a bag's equals are counted by looking each one up.
+SHORT_BAG = 200
+
+
 def bag_overlap(left: Column, right: Column) -> Column:
     """Common items of two arrays of strings as bags, within the row.
 
-    Each item gets the number of its equals before it, which makes bags sets.
+    In short bags each item gets the number of its equals before it, which makes
+    bags sets; long ones are sorted together and counted in one pass.
     """
 
     def told_apart(items: Column) -> Column:
-        return bind(
-            F.array_sort(F.coalesce(items, F.array().cast("array<string>"))),
-            lambda s: F.transform(s, lambda x, i: F.concat_ws("\x00", x, (i - F.array_position(s, x)).cast("string"))),
-        )
+        return bind(F.array_sort(items), lambda s: F.transform(s, lambda x, i: F.concat_ws("\x00", x, (i - F.array_position(s, x)).cast("string"))))
 
-    return F.size(F.array_intersect(told_apart(left), told_apart(right)))
+    def merged(l: Column, r: Column) -> Column:
+        sides = F.concat(
+            F.transform(l, lambda x: F.struct(x.alias("x"), F.lit(1).alias("l"), F.lit(0).alias("r"))),
+            F.transform(r, lambda x: F.struct(x.alias("x"), F.lit(0).alias("l"), F.lit(1).alias("r"))),
+        )
+        start = F.struct(F.lit(None).cast("string").alias("x"), F.lit(0).alias("l"), F.lit(0).alias("r"), F.lit(0).alias("n"))
+
+        def step(s: Column, e: Column) -> Column:
+            same = s["x"].eqNullSafe(e["x"])
+            n_l, n_r = F.when(same, s["l"]).otherwise(0) + e["l"], F.when(same, s["r"]).otherwise(0) + e["r"]
+            # Each item of the scarcer side adds one, when the second side's counterpart arrives.
+            gained = F.when((e["r"] == 1) & (n_r <= n_l), 1).otherwise(0)
+            return F.struct(e["x"].alias("x"), n_l.alias("l"), n_r.alias("r"), (s["n"] + gained).alias("n"))
+
+        keyed = F.array_sort(F.transform(sides, lambda e: F.struct(e["x"].alias("x"), e["r"].alias("r"), e["l"].alias("l"))))
+        return F.aggregate(keyed, start, step, lambda s: s["n"])
+
+    nothing = F.array().cast("array<string>")
+    both = F.struct(F.coalesce(left, nothing).alias("l"), F.coalesce(right, nothing).alias("r"))
+    return bind(
+        both,
+        lambda b: F.when(
+            F.size(b["l"]) + F.size(b["r"]) <= SHORT_BAG, F.size(F.array_intersect(told_apart(b["l"]), told_apart(b["r"])))
+        ).otherwise(merged(b["l"], b["r"])),
+    )
 
 
 def f_measure(common: Column, n_prediction: Column, n_truth: Column) -> Column:
