@@ -39,8 +39,16 @@ def terms_of(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
 
 
-def term_count(text: str | F.Column) -> F.Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(TERM))
+def totals(docs: DataFrame) -> tuple[int, int]:
+    """Documents with a term, and terms, over all of ``docs``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sizes = np.array([len(terms_of(t)) for t in utf8(batch["text"].tolist())], np.int64)
+            yield pd.DataFrame({"docs": [int((sizes > 0).sum())], "terms": [int(sizes.sum())]})
+
+    row = docs.select("text").mapInPandas(run, "docs long, terms long").agg(F.sum("docs"), F.sum("terms")).first()
+    return row[0] or 0, row[1] or 0
 
 
 def clusters(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,9 +153,7 @@ INDEX = "shard long, terms array<long>, df array<int>, ids binary, summaries bin
 
 def build_index(docs: DataFrame, folder: str) -> DataFrame:
     """One row per shard of ``docs`` (doc_id, text), as a table in ``folder``."""
-    n = term_count("text")
-    totals = docs.select(n.alias("n")).agg(F.count_if(F.col("n") > 0), F.sum("n")).first()
-    n_docs, n_terms = totals[0] or 0, totals[1] or 0
+    n_docs, n_terms = totals(docs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, number = TaskContext.get().partitionId(), 0
