@@ -26,7 +26,7 @@ from .shards import gathered, pack, spans, unpack, word_hashes, word_table
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or bytes([c]).isalnum() else 32 for c in range(256))
 #: Text of a shard, and what a document counts besides.
-SHARD_BYTES, DOC_BYTES = 16 << 20, 512
+SHARD_BYTES, DOC_BYTES = 12 << 20, 512
 #: Lists of up to so many documents are read whole; documents of a block; dimensions in which documents are compared.
 SHORT, BLOCK, DIMS = 256, 64, 16
 #: Documents in more blocked lists than this stand in no block and are always scored: summaries grow with the square.
