@@ -224,13 +224,19 @@ def _tokens(text: str) -> list[str]:
     return "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
 
 
-def _rows(a: Sequence[str], b: Sequence[str]) -> Iterator[int]:
-    """Rows of the subsequence table over ``a`` after each token of ``b``: a zero bit where the length rises."""
+#: Table rows between two that are kept.
+KEPT_EVERY = 64
+
+
+def _masks(a: Sequence[str]) -> dict[str, int]:
     places: dict[str, int] = {}
     for i, token in enumerate(a):
         places[token] = places.get(token, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    row = full
+    return places
+
+
+def _rows(places: dict[str, int], full: int, row: int, b: Sequence[str]) -> Iterator[int]:
+    """Rows of the subsequence table from ``row`` on, one after each token of ``b``: a zero bit where the length rises."""
     yield row
     for token in b:
         match = row & places.get(token, 0)
@@ -240,7 +246,8 @@ def _rows(a: Sequence[str], b: Sequence[str]) -> Iterator[int]:
 
 def subsequence_length(a: Sequence[str], b: Sequence[str]) -> int:
     """Longest common subsequence, one machine-word row at a time."""
-    for row in _rows(a, b):
+    full = (1 << len(a)) - 1
+    for row in _rows(_masks(a), full, full, b):
         pass
     return len(a) - row.bit_count()
 
@@ -248,12 +255,21 @@ def subsequence_length(a: Sequence[str], b: Sequence[str]) -> int:
 def _subsequence_places(reference: list[str], candidate: list[str]) -> set[int]:
     """Places in ``reference`` of one longest common subsequence, preferring later candidate tokens.
 
-    The table is kept as one bit per cell.
+    Every 64th row is kept; on the way back the rows between two of them are
+    computed again, so memory grows with the longer text and not with the table.
     """
-    rows = list(_rows(reference, candidate))
+    places, full = _masks(reference), (1 << len(reference)) - 1
+    marks = [row for j, row in enumerate(_rows(places, full, full, candidate)) if j % KEPT_EVERY == 0]
+    near: dict[int, list[int]] = {}
 
     def length(i: int, j: int) -> int:
-        return i - (rows[j] & ((1 << i) - 1)).bit_count()
+        part = j // KEPT_EVERY
+        if part not in near:
+            begin = part * KEPT_EVERY
+            if len(near) > 1:
+                del near[max(near)]  # the way back doesn't return to it
+            near[part] = list(_rows(places, full, marks[part], candidate[begin : begin + KEPT_EVERY - 1]))
+        return i - (near[part][j % KEPT_EVERY] & ((1 << i) - 1)).bit_count()
 
     found, i, j = set(), len(reference), len(candidate)
     while i and j:

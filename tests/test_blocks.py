@@ -161,3 +161,31 @@ def test_consolidation_in_a_row_equals_its_steps(spark, mode):
     assert found == stepwise(c, a, mode) and any(found.values())
     assert V.consolidate(c.limit(0), a, mode).filter("exemplar <> ''").count() == 0
     assert V.consolidate(c, a.limit(0), mode).count() == 0
+
+
+def test_subsequence_places_with_few_rows_kept(monkeypatch):
+    rng = random.Random(12)
+
+    def table(a, b):
+        """The whole table, and the way back through it."""
+        n = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                n[i][j] = n[i - 1][j - 1] + 1 if x == y else max(n[i - 1][j], n[i][j - 1])
+        found, i, j = set(), len(a), len(b)
+        while i and j:
+            if a[i - 1] == b[j - 1]:
+                i, j = i - 1, j - 1
+                found.add(i)
+            elif n[i][j - 1] > n[i - 1][j]:
+                j -= 1
+            else:
+                i -= 1
+        return n[-1][-1], found
+
+    for every in (1, 3, 64):
+        monkeypatch.setattr(A, "KEPT_EVERY", every)
+        for size in (0, 1, 5, 40, 150):
+            a, b = ([rng.choice("abcde") for _ in range(rng.randrange(size + 1))] for _ in range(2))
+            n, places = table(a, b)
+            assert A.subsequence_length(a, b) == n and A._subsequence_places(a, b) == places
