@@ -7,7 +7,7 @@ task are emitted.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -198,9 +198,9 @@ def encode_pq(passages: DataFrame, codebook: DataFrame) -> DataFrame:
     return passages.select("pid", "embedding").mapInPandas(assign, f"pid {_id_type(passages, 'pid')}, codes array<int>")
 
 
-def _looked_up(books: list[np.ndarray], questions: np.ndarray, codes: np.ndarray) -> np.ndarray:
+def _looked_up(books: list[np.ndarray], questions: np.ndarray, codes: Iterable[np.ndarray]) -> np.ndarray:
     """Scores as sums of table entries: per part, the products of the questions with all its centroids."""
-    chosen = codes.astype(np.int64)
+    chosen = np.stack(list(codes)).astype(np.int64)
     total, at = np.zeros((len(questions), len(chosen))), 0
     for part, book in enumerate(books):
         table = questions[:, at : at + book.shape[1]] @ book.T  # questions by centroids
