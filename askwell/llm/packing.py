@@ -53,14 +53,14 @@ def _core(word: bytes) -> tuple[bytes, bytes]:
     return (core, lower[len(core) :]) if core[-1:].isalnum() else (lower, b"")
 
 
-def _learn(path: str, words: list[bytes]) -> dict[bytes, bytes]:
+def _learn(path: str, words: list[bytes], remembered: int) -> dict[bytes, bytes]:
     """Ids of words, as little-endian 32-bit bytes.
 
     White space always ends a token of this vocabulary, so the ids of a text are
     those of its words. Words are encoded together, a mark between them.
     """
     tokenizer, mark, known = _encoder(path)
-    if len(known) > REMEMBERED:
+    if len(known) > remembered:
         known.clear()
     split = [_core(w) for w in words]
     new = list({part for pair in split for part in pair if part and part not in known})
@@ -84,26 +84,26 @@ def _learn(path: str, words: list[bytes]) -> dict[bytes, bytes]:
     return known
 
 
-def encoded(text: bytes, path: str) -> bytes:
+def encoded(text: bytes, path: str, remembered: int = REMEMBERED) -> bytes:
     """A whole text's ids and the end id, as little-endian 32-bit bytes."""
     words = text.split()
     known = _encoder(path)[2]
     try:
         body = b"".join(map(known.__getitem__, words))
     except KeyError:
-        known = _learn(path, list({w for w in words if w not in known}) if len(known) <= REMEMBERED else list(set(words)))
+        known = _learn(path, list({w for w in words if w not in known}) if len(known) <= remembered else list(set(words)), remembered)
         body = b"".join(map(known.__getitem__, words))
     return body + END.to_bytes(4, "little")
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, remembered: int = REMEMBERED) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every row; longer rows are cut at the capacity."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows, owner = [], []
             for i, text in enumerate(utf8(batch.iloc[:, 1].tolist())):
-                data = encoded(text, path)
+                data = encoded(text, path, remembered)
                 for number, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     owner.append(i)
@@ -210,15 +210,15 @@ def ranked(table: DataFrame) -> DataFrame:
     ).drop("__salt", "__before")
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, remembered: int = REMEMBERED) -> DataFrame:
     """``docs`` (doc_id, text) tokenised, cut and packed: one row per piece.
 
     Null and empty texts are the end id alone. Repeated rows and ids are pieces
     of their own; other columns are ignored; an empty table gives an empty
     result. Only the counts of lengths, at most ``capacity`` numbers, go through
-    the driver.
+    the driver. A worker keeps the ids of about ``remembered`` words.
     """
-    table = kept(pieces(docs, path or vocabulary(), capacity))
+    table = kept(pieces(docs, path or vocabulary(), capacity, remembered))
     counts = {int(r[0]): int(r[1]) for r in table.groupBy("length").count().collect()}
     plan = layout(counts, capacity)
     wide = 1 << 44
