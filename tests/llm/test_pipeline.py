@@ -15,7 +15,7 @@ from .test_corpus import brute_print, brute_stats, ordered, pairs
 
 def test_registered(spark):
     names = set(entry.queries())
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in names and [n for n, _ in corpus_pipeline.STAGES][1] == "near-duplicates"
 
 
