@@ -1,10 +1,12 @@
-"""Searches ask with a stated query set, against all rows."""
+"""Searches ask with a stated query set, against all rows; contexts are titled by one letter."""
 
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from askwell import plans
+from askwell.plans import inputs as I
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,3 +27,9 @@ def test_all_vectors_are_searched(spark):
 def test_questions_of_every_hundredth_conversation(spark):
     found = {r["qid"] // 1000 for r in plans.QUERIES["r09_search_texts"](spark, SF).select("qid").collect()}
     assert found and all(c % 100 == 0 for c in found)
+
+
+def test_titles_are_one_letter(spark):
+    rows = spark.createDataFrame([("\u00df",), ("\ufb01",), ("a",), ("",), ("\u00e4",), ("7",)], "c string")
+    got = [r[0] for r in rows.select(I.capital(F.col("c"))).collect()]
+    assert got == ["\u1e9e", "\ufb01", "A", "", "\u00c4", "7"]
