@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -335,8 +337,8 @@ def rouge(
 # Bootstrap.
 
 UNIT = 1 << 32
-#: Draws that one digest gives.
-DRAWS = 4
+#: Draws that one digest gives, and rows drawn at once.
+DRAWS, DRAWN_ROWS = 4, 256
 
 
 def poisson_steps() -> list[int]:
@@ -350,26 +352,51 @@ def poisson_steps() -> list[int]:
     return steps
 
 
+def poisson_copies(prefixes: Sequence[str], resamples: int, steps: np.ndarray) -> np.ndarray:
+    """Copies of each row (rows down, resamples across): a digest of prefix and block gives ``DRAWS`` of them."""
+    ends = [f"|{b}".encode() for b in range(-(-resamples // DRAWS))]
+    digests = b"".join(hashlib.md5(p + e).digest() for p in (x.encode() for x in prefixes) for e in ends)
+    units = np.frombuffer(digests, ">u4").reshape(len(prefixes), -1)[:, :resamples]
+    return np.searchsorted(steps, units.astype(np.int64), side="right")
+
+
 def bootstrap_mid(df: DataFrame, key: str, scores: Sequence[str], resamples: int = 1000, seed: int = 0) -> DataFrame:
     """``metric, mid``: median of the mean over resampled rows.
 
     A row's number of copies in each resample is a Poisson draw from the digest
-    of seed, key and resample, so a task sends one partial sum per resample and
-    no rows. Rows of one key are drawn together; null scores count as absent.
+    of seed, key and resample, drawn a batch at a time, so a task sends one partial sum per
+    resample and no rows. Rows of one key are drawn together; null scores count as absent.
     """
     names = list(scores)
-    blocks = -(-resamples // DRAWS)
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), F.col("__b").cast("string")))
-    drawn = df.select(key, *names, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__b")).withColumn("__d", digest)
-
-    def copies(j: int) -> Column:
-        unit = F.conv(F.substring("__d", 8 * j + 1, 8), 16, 10).cast("long")
-        return sum((F.when(unit >= s, 1).otherwise(0) for s in poisson_steps()), F.lit(0))
-
-    each = F.array(*[F.struct((F.col("__b") * DRAWS + j).alias("resample"), copies(j).alias("copies")) for j in range(DRAWS)])
-    rows = drawn.select(*names, F.inline(each)).filter((F.col("resample") < resamples) & (F.col("copies") > 0))
-    total = rows.groupBy("resample").agg(
-        *[(F.sum(F.col(n) * F.col("copies")) / F.sum(F.when(F.col(n).isNotNull(), F.col("copies")))).alias(n) for n in names]
+    parts = df.sparkSession.sparkContext.defaultParallelism
+    prefix = F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).alias("__prefix")
+    values = [F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(f"v{i}") for i, n in enumerate(names)]
+    given = [F.col(n).isNotNull().alias(f"g{i}") for i, n in enumerate(names)]
+    # Rows are few bytes and much work, so even a small table goes to all cores.
+    rows = df.select(prefix, *values, *given).repartition(parts)
+    sums = [f"s{i}" for i in range(len(names))] + [f"n{i}" for i in range(len(names))]
+    steps = np.array(poisson_steps(), np.int64)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        drawn, total = np.zeros(resamples, np.int64), np.zeros((2 * len(names), resamples))
+        for batch in batches:
+            for at in range(0, len(batch), DRAWN_ROWS):
+                part = batch.iloc[at : at + DRAWN_ROWS]
+                copies = poisson_copies(part["__prefix"].tolist(), resamples, steps)
+                drawn += copies.sum(axis=0)
+                for i in range(len(names)):
+                    value, some = part[f"v{i}"].to_numpy(float), part[f"g{i}"].to_numpy(bool)
+                    finite = np.isfinite(value)
+                    total[i] += np.where(finite, value, 0.0) @ copies
+                    for j in np.flatnonzero(~finite):
+                        total[i] += np.where(copies[j] > 0, value[j], 0.0)
+                    total[len(names) + i] += some.astype(float) @ copies
+        yield pd.DataFrame({"resample": np.arange(resamples), "drawn": drawn} | dict(zip(sums, total)))
+
+    schema = "resample long, drawn long, " + ", ".join(f"{c} double" for c in sums)
+    added = rows.mapInPandas(run, schema).groupBy("resample").agg(F.sum("drawn").alias("drawn"), *[F.sum(c).alias(c) for c in sums])
+    total = added.filter("drawn > 0").select(
+        "resample", *[F.when(F.col(f"n{i}") > 0, F.col(f"s{i}") / F.col(f"n{i}")).alias(n) for i, n in enumerate(names)]
     )
     means = total.select(F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("mean")) for n in names])))
     return means.groupBy("metric").agg(F.percentile("mean", 0.5).alias("mid"))

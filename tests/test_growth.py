@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import statistics
+
+import pytest
+
+from askwell.operators import answers as A
 from askwell.plans import consolidate as C
 from askwell.plans import inputs as I
 
@@ -35,3 +41,25 @@ def test_teachers_quote_repeated_and_odd_documents(spark, tmp_path):
                 lines.append((n, f"{(n + (t >= 3)) // 2 + 1}.1. ## s-{q}-{n}\n{quote}"))
         assert answer in ("", "I found nothing.\n\nSorry.", "\n\n".join(x for _, x in sorted(lines)))
     assert sum("## s" in a for a in got.values()) > 5
+
+
+def test_bootstrap_draws_equal_single_draws(spark):
+    """Drawn a batch at a time; nulls count as absent, endless scores only where they are drawn."""
+    data = [(i if i % 7 else None, float(i % 5), None if i % 3 else i / 4, float("inf") if i == 11 else 1.0) for i in range(300)]
+    df = spark.createDataFrame(data, "id long, a double, b double, c double")
+    steps, means = A.poisson_steps(), {n: [] for n in "abc"}
+    for r in range(40):
+        sums, counts = dict.fromkeys("abc", 0.0), dict.fromkeys("abc", 0)
+        for key, *values in data:
+            digest = hashlib.md5("|".join(str(x) for x in ("0", key, r // 4) if x is not None).encode()).hexdigest()
+            copies = sum(int(digest[r % 4 * 8 : r % 4 * 8 + 8], 16) >= s for s in steps)
+            for name, value in zip("abc", values):
+                if value is not None and copies:
+                    sums[name] += value * copies
+                    counts[name] += copies
+        for name in means:
+            means[name].append(sums[name] / counts[name])
+    got = {r["metric"]: r["mid"] for r in A.bootstrap_mid(df, "id", ["a", "b", "c"], 40).collect()}
+    assert got == {n: pytest.approx(statistics.median(m)) for n, m in means.items()}
+    plan = A.bootstrap_mid(df, "id", ["a"], 40)._jdf.queryExecution().executedPlan().toString()
+    assert "explode" not in plan and A.bootstrap_mid(df.filter("id < 0"), "id", ["a"], 40).count() == 0
