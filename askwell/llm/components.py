@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import kept, release
 
 
 def local_forest(n: int, left: np.ndarray, right: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
@@ -26,6 +26,12 @@ def local_forest(n: int, left: np.ndarray, right: np.ndarray, labels: np.ndarray
             labels = root
 
 
+def _state(edges: DataFrame) -> tuple:
+    """What tells two sets of links apart: their number and two sums of 64-bit hashes."""
+    sums = [F.sum(F.xxhash64(F.lit(i), "a", "b").cast("decimal(38,0)")) for i in (1, 2)]
+    return tuple(edges.agg(F.count("*"), *sums).first())
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``links`` (columns a, b); root is the smallest node reachable.
 
@@ -39,6 +45,7 @@ def components(links: DataFrame) -> DataFrame:
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
+    before = _state(edges)
     while True:
         # Large star: every neighbour above a node is linked to the smallest one around it.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -54,8 +61,11 @@ def components(links: DataFrame) -> DataFrame:
             .filter("a <> b")
             .distinct()
         )
-        if small.exceptAll(edges).isEmpty() and edges.exceptAll(small).isEmpty():
+        now = _state(small)
+        if now == before:
             return small.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
                 small.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             )
-        edges = small
+        edges, before = small, now
+        del both, least, large, lowest, small
+        release(edges.sparkSession)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askwell.llm import alike, mixing, packing, pii, quality
-from askwell.llm.common import remove_folder, shared_folder
+from askwell.llm.common import release, remove_folder, shared_folder
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,4 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = spark.read.parquet(out)
         if number:
             remove_folder(spark, f"{folder}/{number - 1}")
+        release(spark)
     return docs
