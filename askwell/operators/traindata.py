@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bind, normalize_text, strip_suffix, uniform
+from ..functions.text import bind, normalize_text, strip_suffix, uniform, uniform_above, uniform_below, uniform_key
 from .ordering import running_total, with_position
 from .prepare import passage_text
 
@@ -187,50 +187,69 @@ def crop_views(df: DataFrame, key: str, ratio_min: float, ratio_max: float, seed
     )
 
 
-def _keep(key: Column, i: Column, p: float, seed: int) -> Column:
-    return uniform(f"{seed}|token", key, i) > p
+def keep_draws(tokens: Column, key: Column, p: float = 0.1, seed: int = 0) -> Column:
+    """Whether each token is left as it is; a column of it serves all augmentations of one seed."""
+    return F.transform(tokens, lambda x, i: _keep(None, key, i, p, seed))
 
 
-def augment_delete(tokens: Column, key: Column, p: float = 0.1, seed: int = 0) -> Column:
-    """Drop each token with probability ``p``."""
-    return F.filter(tokens, lambda x, i: _keep(key, i, p, seed))
+def _keep(keep: Column | None, key: Column, i: Column, p: float, seed: int) -> Column:
+    return uniform_above(p, f"{seed}|token", key, i) if keep is None else F.get(keep, i)
+
+
+def augment_delete(tokens: Column, key: Column, p: float = 0.1, seed: int = 0, keep: Column | None = None) -> Column:
+    """Drop each token with probability ``p``, or as ``keep_draws`` says."""
+    return F.filter(tokens, lambda x, i: _keep(keep, key, i, p, seed))
 
 
 def augment_replace(
-    tokens: Column, key: Column, low: int, high: int, p: float = 0.1, seed: int = 0
+    tokens: Column, key: Column, low: int, high: int, p: float = 0.1, seed: int = 0, keep: Column | None = None
 ) -> Column:
-    """Swap each token with probability ``p`` for a random id in ``low..high``."""
+    """Swap each token with probability ``p``, or as ``keep_draws`` says, for a random id in ``low..high``."""
 
     def swap(x: Column, i: Column) -> Column:
         other = F.floor(uniform(f"{seed}|other", key, i) * (high - low + 1)).cast("int") + low
-        return F.when(_keep(key, i, p, seed), x).otherwise(other)
+        return F.when(_keep(keep, key, i, p, seed), x).otherwise(other)
 
     return F.transform(tokens, swap)
 
 
-def augment_mask(tokens: Column, key: Column, mask_id: int, p: float = 0.1, seed: int = 0) -> Column:
-    """Swap each token with probability ``p`` for the mask id."""
-    return F.transform(tokens, lambda x, i: F.when(_keep(key, i, p, seed), x).otherwise(F.lit(mask_id)))
+def augment_mask(tokens: Column, key: Column, mask_id: int, p: float = 0.1, seed: int = 0, keep: Column | None = None) -> Column:
+    """Swap each token with probability ``p``, or as ``keep_draws`` says, for the mask id."""
+    return F.transform(tokens, lambda x, i: F.when(_keep(keep, key, i, p, seed), x).otherwise(F.lit(mask_id)))
 
 
 def augment_shuffle(tokens: Column, key: Column, p: float = 0.1, seed: int = 0) -> Column:
-    """Permute a binomial number of a row's tokens among their places."""
+    """Permute a binomial number of a row's tokens among their places; only these and their like are sorted."""
 
     def dealt(places: Column, tag: str) -> Column:
-        keyed = F.transform(places, lambda i: F.struct(uniform(f"{seed}|{tag}", key, i).alias("u"), i.alias("i")))
-        return F.transform(F.array_sort(keyed), lambda e: e["i"])
+        keyed = F.transform(places, lambda i: F.struct(uniform_key(f"{seed}|{tag}", key, i).alias("u"), i.alias("i")))
+        return F.transform(F.sort_array(keyed), lambda e: e["i"])
+
+    def move(to: Column, source: Column) -> Column:
+        return F.struct(to.alias("to"), source.alias("source"))
 
     def shuffled(t: Column) -> Column:
         places = F.transform(t, lambda x, i: i)
-        count = F.size(F.filter(places, lambda i: uniform(f"{seed}|count", key, i) < p))
+        count = F.size(F.filter(t, lambda x, i: uniform_below(p, f"{seed}|count", key, i)))
+
+        def first(n: Column) -> Column:
+            """The n first places: they are among those with a low draw, unless these are fewer."""
+            low = F.filter(places, lambda i: uniform_below(2 * p, f"{seed}|place", key, i))
+            every = bind(low, lambda s: dealt(F.when(F.size(s) >= n, s).otherwise(places), "place"))
+            return F.slice(every, F.lit(1), n)
+
+        def swapped(moves: Column) -> Column:
+            """The tokens between two moved ones stay."""
+
+            def piece(m: Column, k: Column) -> Column:
+                begin = F.coalesce(F.get(moves, k - 1)["to"] + 1, F.lit(0))
+                return F.concat(F.slice(t, begin + 1, m["to"] - begin), F.array(F.get(t, m["source"])))
 
-        def swapped(to: Column) -> Column:
-            moves = F.map_from_arrays(to, dealt(to, "deal"))
-            return bind(
-                moves, lambda m: F.transform(t, lambda x, i: F.get(t, F.coalesce(F.try_element_at(m, i), i)))
-            )
+            end = F.coalesce(F.get(moves, F.size(moves) - 1)["to"] + 1, F.lit(0))
+            return F.concat(F.flatten(F.transform(moves, piece)), F.slice(t, end + 1, F.size(t)))
 
-        return bind(F.slice(dealt(places, "place"), F.lit(1), count), swapped)
+        chosen = bind(count, first)
+        return bind(bind(chosen, lambda to: F.sort_array(F.zip_with(to, dealt(to, "deal"), move))), swapped)
 
     return bind(tokens, shuffled)
 

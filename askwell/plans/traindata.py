@@ -165,13 +165,13 @@ OTHER = f"floor({I.sql_uniform('0|other', 'doc_id', 'i')} * 100)::int + 50"
     ),
 )
 def d07(spark: SparkSession, sf: str) -> DataFrame:
-    rows = I.tokens(spark, sf)
-    tokens, key = F.col("tokens"), F.col("doc_id")
+    tokens, key, keep = F.col("tokens"), F.col("doc_id"), F.col("keep")
+    rows = I.tokens(spark, sf).withColumn("keep", D.keep_draws(tokens, key))
     out = rows.select(
         "doc_id",
-        D.augment_delete(tokens, key).alias("deleted"),
-        D.augment_replace(tokens, key, 50, 149).alias("replaced"),
-        D.augment_mask(tokens, key, 4).alias("masked"),
+        D.augment_delete(tokens, key, keep=keep).alias("deleted"),
+        D.augment_replace(tokens, key, 50, 149, keep=keep).alias("replaced"),
+        D.augment_mask(tokens, key, 4, keep=keep).alias("masked"),
     )
     return out.select("doc_id", *[ids(c).alias(f"{c}_md5") for c in ("deleted", "replaced", "masked")])
 
