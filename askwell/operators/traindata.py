@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bind, normalize_text, strip_suffix, uniform, uniform_above, uniform_below, uniform_key
+from ..functions.text import bind, normalize_text, seeded, strip_suffix, uniform, uniform_above, uniform_below, uniform_key
 from .ordering import running_total, with_position
 from .prepare import passage_text
 
@@ -189,7 +189,7 @@ def crop_views(df: DataFrame, key: str, ratio_min: float, ratio_max: float, seed
 
 def keep_draws(tokens: Column, key: Column, p: float = 0.1, seed: int = 0) -> Column:
     """Whether each token is left as it is; a column of it serves all augmentations of one seed."""
-    return F.transform(tokens, lambda x, i: _keep(None, key, i, p, seed))
+    return bind(seeded(f"{seed}|token", key), lambda s: F.transform(tokens, lambda x, i: uniform_above(p, s, i)))
 
 
 def _keep(keep: Column | None, key: Column, i: Column, p: float, seed: int) -> Column:
@@ -222,19 +222,21 @@ def augment_shuffle(tokens: Column, key: Column, p: float = 0.1, seed: int = 0)
     """Permute a binomial number of a row's tokens among their places; only these and their like are sorted."""
 
     def dealt(places: Column, tag: str) -> Column:
-        keyed = F.transform(places, lambda i: F.struct(uniform_key(f"{seed}|{tag}", key, i).alias("u"), i.alias("i")))
-        return F.transform(F.sort_array(keyed), lambda e: e["i"])
+        def keyed(s: Column) -> Column:
+            return F.transform(places, lambda i: F.struct(uniform_key(s, i).alias("u"), i.alias("i")))
+
+        return F.transform(F.sort_array(bind(seeded(f"{seed}|{tag}", key), keyed)), lambda e: e["i"])
 
     def move(to: Column, source: Column) -> Column:
         return F.struct(to.alias("to"), source.alias("source"))
 
     def shuffled(t: Column) -> Column:
         places = F.transform(t, lambda x, i: i)
-        count = F.size(F.filter(t, lambda x, i: uniform_below(p, f"{seed}|count", key, i)))
+        hits = bind(seeded(f"{seed}|count", key), lambda s: F.filter(places, lambda i: uniform_below(p, s, i)))
 
         def first(n: Column) -> Column:
             """The n first places: they are among those with a low draw, unless these are fewer."""
-            low = F.filter(places, lambda i: uniform_below(2 * p, f"{seed}|place", key, i))
+            low = bind(seeded(f"{seed}|place", key), lambda s: F.filter(places, lambda i: uniform_below(2 * p, s, i)))
             every = bind(low, lambda s: dealt(F.when(F.size(s) >= n, s).otherwise(places), "place"))
             return F.slice(every, F.lit(1), n)
 
@@ -248,7 +250,7 @@ def augment_shuffle(tokens: Column, key: Column, p: float = 0.1, seed: int = 0)
             end = F.coalesce(F.get(moves, F.size(moves) - 1)["to"] + 1, F.lit(0))
             return F.concat(F.flatten(F.transform(moves, piece)), F.slice(t, end + 1, F.size(t)))
 
-        chosen = bind(count, first)
+        chosen = bind(F.size(hits), first)
         return bind(bind(chosen, lambda to: F.sort_array(F.zip_with(to, dealt(to, "deal"), move))), swapped)
 
     return bind(tokens, shuffled)
