@@ -74,16 +74,25 @@ def with_negatives(
 
     The highest logit, the sum of ``exp(logit - top)``, the sum of logits and
     their number. Such states add up, so more than ``block_rows`` negatives are
-    split into groups; then ``columns`` must tell pairs apart. Without negatives ``top`` is minus
+    split into groups, whose states a task adds up as long as it has the block;
+    beyond what travels together ``columns`` must tell pairs apart. Without negatives ``top`` is minus
     infinity and the rest zero.
     """
 
     def visit() -> Callable:
+        held, state = None, ()
+
         def each(block: dict | None, group: int | None, few) -> Iterator[pd.DataFrame]:
+            nonlocal held, state
+            if held is not None and held is not block:
+                yield pd.DataFrame({**{c: held[c] for c in columns}, **dict(zip(("top", "total", "plain", "n"), state))})
+                held = None
             if block is None:
                 return
             q = matrix(block["data"], block["width"])
-            top, total, plain, n = np.full(len(q), -np.inf), np.zeros(len(q)), np.zeros(len(q)), 0
+            if held is None:
+                held, state = block, (np.full(len(q), -np.inf), np.zeros(len(q)), np.zeros(len(q)), 0)
+            top, total, plain, n = state
             for f in few if few is not None else ():
                 other = matrix(f["data"], f["width"])
                 n += len(other)
@@ -93,7 +102,7 @@ def with_negatives(
                     higher = np.maximum(top, logits.max(axis=1))
                     total = total * np.exp(top - higher) + np.exp(logits - higher[:, None]).sum(axis=1)
                     top, plain = higher, plain + logits.sum(axis=1)
-            yield pd.DataFrame({**{c: block[c] for c in columns}, "top": top, "total": total, "plain": plain, "n": n})
+            state = top, total, plain, n
 
         return each
 
@@ -101,10 +110,10 @@ def with_negatives(
     blocks = packed(negatives.withColumn("one", F.lit(1)), ["one"], "embedding", 64 * block_rows)
     width = negatives.agg(F.max(F.size("embedding"))).first()[0] or 1
     schema = f"{kinds}, top double, total double, plain double, n long"
-    states, groups = every_pair(packed(pairs, columns, "q"), blocks, visit, schema, 8 * width * block_rows)
-    if groups == 1:
+    states, sets = every_pair(packed(pairs, columns, "q"), blocks, visit, schema, 8 * width * block_rows)
+    if sets == 1:
         return states
-    every = states.groupBy(*columns).agg(F.collect_list(F.struct("top", "total", "plain", "n")).alias("s"))  # one per group of negatives
+    every = states.groupBy(*columns).agg(F.collect_list(F.struct("top", "total", "plain", "n")).alias("s"))  # one per set of groups
     top = F.array_max("s.top")
 
     def added(value: Callable[[Column], Column], zero: Column) -> Column:

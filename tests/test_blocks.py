@@ -7,13 +7,16 @@ import random
 import uuid
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from askwell.operators import answers as A
+from askwell.operators import blocks
 from askwell.operators import consolidate as V
 from askwell.operators import retrieve as R
 from askwell.operators import training_stats as TS
+from askwell.operators.blocks import every_pair, packed
 from askwell.session import scratch
 from askwell.sources import records as S
 
@@ -66,6 +69,33 @@ def test_negatives_in_groups_add_up(spark):
             assert got[i]["total"] == pytest.approx(np.exp(logits[i] - top[i]).sum()) and got[i]["plain"] == pytest.approx(logits[i].sum())
 
 
+def test_groups_that_travel_together_are_added_in_the_task(spark, monkeypatch):
+    """One state a query and set of groups, however many groups there are; sets add up as groups do."""
+    rng = np.random.default_rng(9)
+    q, n = rng.normal(size=(30, 4)), rng.normal(size=(500, 4))
+    pairs = vectors(spark, q, "id").select("id", F.col("embedding").alias("q"))
+    few = packed(vectors(spark, n, "id").repartition(16), ["id"], "embedding", 40)
+    seen = []
+
+    def visit():
+        def each(block, group, few):
+            if block is not None:
+                yield pd.DataFrame({"group": [group], "n": [sum(len(f["id"]) for f in few)]})
+
+        return each
+
+    for bound, most in ((64, 1 << 20), (64, 4096)):
+        monkeypatch.setattr(blocks, "BOUND", most)
+        met, sets = every_pair(packed(pairs, ["id"], "q"), few, visit, "group long, n long", bound)
+        rows = met.collect()
+        seen.append((sets, sum(r["n"] for r in rows) / 500, len({r["group"] for r in rows}) > 20))
+        got = TS.with_negatives(pairs, vectors(spark, n, "id"), 0.7, 2)
+        total = {r["id"]: r["total"] * np.exp(r["top"]) for r in got.collect()}
+        assert len(total) == 30 and all(total[i] == pytest.approx(np.exp(q[i] @ n.T / 0.7).sum()) for i in range(30))
+    number = packed(pairs, ["id"], "q").count()
+    assert seen == [(1, number, True), (4, number, True)]
+
+
 def error(book, rows, m):
     parts = rows.reshape(len(rows), m, -1)
     return sum(((parts[:, i, None] - book[i][None]) ** 2).sum(-1).min(1).sum() for i in range(m)) / len(rows)
