@@ -1,4 +1,4 @@
-"""Near copies by exact Jaccard similarity of word shingles; candidates share a band of min-hashes."""
+"""Near copies by SimHash fingerprints and by exact Jaccard similarity of word shingles, whose candidates share a band of min-hashes."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks, broadcast_within, kept, mix64, utf8
 from .components import components, local_forest
-from .simhash import shingle_hashes
+from .simhash import fingerprints_of, near_links, shingle_hashes
 
 #: Words of a shingle, and the share of common shingles from which two texts are near copies.
 WORDS, SIMILARITY = 5, 0.8
@@ -63,18 +63,19 @@ def bands_of(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def with_bands(docs: DataFrame) -> DataFrame:
-    """``doc_id, x, node, bands`` of every row; x tells its text."""
+    """``doc_id, x, fp, node, bands`` of every row; x tells its text, fp is its fingerprint."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = batch.iloc[:, :2].copy()
+            out["fp"] = fingerprints_of(batch["text"].tolist()).view(np.int64)
             found = [(nodes_of(*s), bands_of(*s)) for s in sets_of(batch["text"].tolist())]
             out["node"] = np.concatenate([n for n, _ in found] or [np.zeros(0, np.uint64)]).view(np.int64)
             out["bands"] = [row for _, b in found for row in b.view(np.int64)]
             yield out
 
     columns = docs.select("doc_id", text_key().alias("x"), "text")
-    return columns.mapInPandas(run, "doc_id long, x long, node long, bands array<long>")
+    return columns.mapInPandas(run, "doc_id long, x long, fp long, node long, bands array<long>")
 
 
 def with_sets(texts: DataFrame) -> DataFrame:
@@ -173,8 +174,17 @@ def cell_links(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return dealt.groupBy("group").applyInPandas(run, "a long, b long")
 
 
-def alike_links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) that connect ``nodes`` (node, x, bands) as all candidate pairs of that similarity do.
+def print_links(prints: DataFrame, distance: int) -> DataFrame:
+    """Links (a, b) that connect nodes as fingerprints within ``distance`` bits do; ``prints`` has every (node, fp)."""
+    rooted = components(near_links(prints.select("fp").distinct(), distance))
+    group = F.coalesce("root", "fp").alias("group")
+    grouped = prints.join(rooted, prints["fp"] == rooted["node"], "left").select(prints["node"], group)
+    least = grouped.groupBy("group").agg(F.min("node").alias("a"))
+    return grouped.join(least, "group").select("a", F.col("node").alias("b")).filter("a <> b").distinct()
+
+
+def alike_links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, links: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) that connect ``nodes`` (node, x, bands) as ``links`` and all candidate pairs of that similarity do.
 
     In a band every text first meets one text of it. Bands that this leaves in
     several components are then compared whole, in cells, so no pair is left out.
@@ -187,7 +197,6 @@ def alike_links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARIT
     wanted = kept(nodes.join(shared.select("node").distinct(), "node", "left_semi").select(F.col("x").alias("__x")).distinct())
     texts = docs.join(broadcast_within(wanted), text_key() == F.col("__x"), "left_semi").select("text")
     sets = kept(with_sets(texts).dropDuplicates(["node"]))
-    links = None
     for number in range(STARS + 1):
         if links is None:
             labelled = shared.withColumn("label", F.col("node"))
@@ -209,18 +218,22 @@ def alike_links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARIT
     return links
 
 
-def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, distance: int | None = None) -> DataFrame:
     """One row of each component of near copies in ``docs``, the one with the smallest doc_id, with all its columns.
 
     Two rows are near copies if their texts share ``similarity`` of their distinct
-    five-word shingles (words in lower case; a shorter text is one shingle).
-    Null, empty and blank texts are alike and like no other. A missing doc_id
-    comes last; of equal rows one stays. Shingles, sets of them and texts are
-    told apart by 64-bit hashes.
+    five-word shingles (words in lower case; a shorter text is one shingle), and,
+    with a ``distance``, also if their SimHash fingerprints differ in so many bits
+    at most. Null, empty and blank texts are alike; no shingles are shared with
+    them, and their fingerprint is zero. A missing doc_id comes last; of equal
+    rows one stays. Shingles, sets of them and texts are told apart by 64-bit hashes.
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "x")).alias("w")
-    nodes = kept(with_bands(docs).groupBy("node").agg(first, F.first("bands").alias("bands")))
-    rooted = components(alike_links(nodes.select("node", "w.x", "bands"), docs, similarity))
+    found = kept(with_bands(docs).groupBy("node", "fp").agg(first, F.first("bands").alias("bands")))
+    links = None if distance is None else kept(print_links(found.select("node", "fp"), distance))
+    # Texts of one set of shingles can have several fingerprints.
+    nodes = kept(found.groupBy("node").agg(F.min("w").alias("w"), F.first("bands").alias("bands")))
+    rooted = components(alike_links(nodes.select("node", "w.x", "bands"), docs, similarity, links))
     label = F.coalesce("root", "node").alias("label")
     winners = kept(
         nodes.join(rooted, "node", "left").select(label, "w").groupBy("label").agg(F.min("w").alias("w")).select("w.doc_id", "w.x")

@@ -17,8 +17,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts that share 0.8 of their five-word shingles."""
-    return alike.keep_one(docs)
+    """One document of each component of texts whose fingerprints are near or that share 0.8 of their five-word shingles."""
+    return alike.keep_one(docs, distance=DISTANCE)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,6 +38,9 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs, remembered=REMEMBERED)
 
 
+#: Bits in which fingerprints of near copies differ at most, as in the operator's own query.
+DISTANCE = 4
+
 #: Words whose ids a worker keeps: the same workers run the other stages too, and hold what one of them keeps.
 REMEMBERED = 250_000
 

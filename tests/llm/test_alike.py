@@ -9,7 +9,7 @@ import corpus_pipeline
 from askwell.llm import alike
 
 from .tables import SF, documents, empty, odd
-from .test_corpus import ordered, pairs
+from .test_corpus import brute_print, ordered, pairs
 
 
 def shingles(text):
@@ -78,6 +78,20 @@ def test_large_bands_just_below_the_similarity(spark, monkeypatch):
     assert 1 < len(want) < 260
 
 
+def test_near_fingerprints_without_common_shingles_enough(spark):
+    """Long repeats settle the fingerprint, while most of the distinct shingles differ; and a chain over both kinds of links."""
+    rng = np.random.default_rng(5)
+    repeats = " ".join("alpha beta gamma delta epsilon".split() * 60)
+    rows = [(i, " ".join([repeats, *[f"t{rng.integers(10**6)}" for _ in range(30)]])) for i in range(2, 6)]
+    rows.append((1, rows[0][1] + " one more"))  # shares 0.8 with the first
+    rows.append((9, " ".join(f"o{k}" for k in range(80))))
+    prints = [brute_print(t) for _, t in rows]
+    assert all((a ^ b).bit_count() <= 4 for a in prints[:4] for b in prints[:4])
+    assert survivors(rows) == ordered([(1,), (3,), (4,), (5,), (9,)])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ordered(pairs(corpus_pipeline.drop_near_copies(spark, docs, SF), "doc_id")) == ordered([(1,), (9,)])
+
+
 def test_counts_of_common_shingles():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 400, rng.integers(0, 120))) for _ in range(70)]
