@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
+from askwell.functions import fixed
+from askwell.functions import text as X
 from askwell.operators import answers as A
 from askwell.plans import consolidate as C
 from askwell.plans import inputs as I
@@ -26,6 +30,24 @@ def test_consolidation_moves_texts_once_a_side(spark):
     assert exchanges(C.V.question_spans(steps.parsed, steps.contexts)) == 2
 
 
+def test_lines_are_counted_once_for_all_teachers(spark):
+    """Blanks are looked for in a document's row, before it is repeated for each teacher."""
+    plan = I.teacher_answers(spark, TABLES)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate explode", 1)
+    assert "replace(" not in above and "replace(" in below
+
+
+def test_ends_are_looked_at_before_texts_are_searched(spark):
+    """Only a text that ends in an end token or a blank is searched for these; results are as by search."""
+    texts = ["", " ", "a", "a ", "\u3000a\u00a0b\u2003\n", "a</s>", "a</s></s>", "</s>a", "a</s> ", None, "</s>"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", X.strip_space(F.col("t")), X.strip_suffix(F.col("t"), "</s>")).collect()
+    for t, bare, cut in got:
+        assert bare == (t and t.strip(fixed.WHITE_SPACE)) and cut == (t and re.sub(r"(</s>)+\Z", "", t))
+    plan = df.select(X.strip_space(F.col("t")), X.strip_suffix(F.col("t"), "</s>"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("endswith(") > 1
+
+
 def test_teachers_quote_repeated_and_odd_documents(spark, tmp_path):
     texts = {1: ["a b c d e f", "  g h  i j k l m \n\nn"], 2: [None], 3: ["one two three four"], 4: [""]}
     rows = [(i, t, "s", "en") for i, ts in texts.items() for t in ts]
