@@ -45,6 +45,49 @@ def test_topk_of_empty_and_missing_rows(spark):
     assert R.topk_inner_product(one.limit(0), other).count() == 0 and R.topk_inner_product(one, other.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("asked", "there"), [(1500, 1300), (40, 2600)])
+def test_topk_beyond_a_tile_equals_brute_force(spark, monkeypatch, asked, there):
+    """Either side as the few, several blocks, ties across them, equal vectors on both sides, ids not in scan order."""
+    rng = np.random.default_rng(6)
+    q, p = rng.integers(-2, 3, (asked, 5)).astype(float), rng.integers(-2, 3, (there, 5)).astype(float)
+    q[3:30], p[200:900] = q[2], p[7]
+    q[35], p[:, 4] = 0.0, rng.normal(size=there)  # one asks with zeros: all its scores are ties
+    ids = rng.permutation(there)
+    left = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(q)], "qid long, embedding array<float>")
+    data = [(f"p{n:05d}", [float(x) for x in v]) for n, v in zip(ids, p)]
+    right = spark.createDataFrame(data, "pid string, embedding array<double>").repartition(2)
+    monkeypatch.setattr(R, "COLUMNS", 256)
+    scores = np.round(q @ p.T, 12)
+    want = {i: [(f"p{ids[j]:05d}", scores[i, j]) for j in np.lexsort((ids, -scores[i]))[:7]] for i in range(asked)}
+    for bound in (1 << 20, 4000):
+        rows = R.topk_inner_product(left, right, 7, bound).orderBy("qid", "rank").collect()
+        assert len(rows) == 7 * asked
+        for n, r in enumerate(rows):
+            pid, score = want[r["qid"]][n % 7]
+            assert r["pid"] == pid and r["score"] == pytest.approx(score, abs=1e-11)
+
+
+def test_quantised_topk_equals_the_sums_of_table_entries(spark):
+    rng = np.random.default_rng(7)
+    books = [rng.normal(size=(4, 3)) for _ in range(2)]
+    cells = [(part, code, [float(x) for x in book[code]]) for part, book in enumerate(books) for code in range(4)]
+    codebook = spark.createDataFrame(cells, "part int, code int, centroid array<double>")
+    q, codes = rng.normal(size=(1400, 6)), rng.integers(0, 4, (1300, 2))
+    coded = spark.createDataFrame([(i, [int(x) for x in c]) for i, c in enumerate(codes)], "pid long, codes array<int>")
+    scores = np.round(R._looked_up(books, q, codes), 12)
+    rows = R.topk_pq(vectors(spark, q, "qid"), coded, codebook, 3).collect()
+    want = {(i, int(j), rank) for i in range(1400) for rank, j in enumerate(np.lexsort((np.arange(1300), -scores[i]))[:3], 1)}
+    assert {(r["qid"], r["pid"], r["rank"]) for r in rows} == want
+
+
+def test_vectors_beyond_single_precision(spark):
+    big = [(i, [x * 1e200, 1.0]) for i, x in enumerate([1.0, -2.0, 3.0])]
+    left = spark.createDataFrame([(0, [1e30, 0.0]), (1, [float("nan"), 1.0])], "qid long, embedding array<double>")
+    right = spark.createDataFrame(big, "pid long, embedding array<double>")
+    got = [(r["qid"], r["pid"]) for r in R.topk_inner_product(left, right, 2).orderBy("rank").collect()]
+    assert got == [(0, 2), (0, 0)]
+
+
 def test_queue_without_negatives_or_pairs(spark):
     pairs = spark.createDataFrame([(1, [1.0, 0.0], [0.5, 1.0]), (2, [0.0, 2.0], [1.0, 1.0])], "id long, q array<double>, k array<double>")
     none = spark.createDataFrame([], "id long, embedding array<double>")
