@@ -26,6 +26,11 @@ def test_every_vector_asks(spark, name):
     assert found <= every_id(spark) and len(found) > 100 and (name[:3] in ("e10", "c12") or found == every_id(spark))
 
 
+def test_every_vector_asks_by_string(spark):
+    found = {r["qid"] for r in plans.QUERIES["r01_topk_string_ids"](spark, SF).select("qid").collect()}
+    assert found == {f"q-{i}" for i in every_id(spark)}
+
+
 @pytest.mark.parametrize("name", ["r02_topk_pq"])
 def test_every_hundredth_vector_asks(spark, name):
     wanted = {i for i in every_id(spark) if i % 100 == 0}
