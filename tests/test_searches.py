@@ -31,6 +31,12 @@ def test_every_vector_asks_by_string(spark):
     assert found == {f"q-{i}" for i in every_id(spark)}
 
 
+def test_every_vector_asks_the_codes(spark):
+    rows = plans.QUERIES["r02_topk_pq_given_codebook"](spark, SF).select("qid").collect()
+    assert {r["qid"] for r in rows} == every_id(spark)
+    assert plans.QUERIES["r02_pq_recall"](spark, SF).first()["wanted"] == len(rows) == 10 * len(every_id(spark))
+
+
 @pytest.mark.parametrize("name", ["r02_topk_pq"])
 def test_every_hundredth_vector_asks(spark, name):
     wanted = {i for i in every_id(spark) if i % 100 == 0}
