@@ -66,3 +66,13 @@ def test_a_long_nearly_verbatim_quote_needs_no_automaton(monkeypatch):
     at = text.index(" ") + 1
     assert len(text) ** 2 > V.SEARCH_CELLS
     assert V.longest_common(text, text.replace(" ", "", 1)) == (at, len(text) - at)
+
+
+def test_a_span_is_searched_for_once(spark):
+    """The filter on empty spans must not evaluate the search a second time."""
+    rows = [(1, 0, 0, 0, 1, "ab cd", "xx abcd yy ab"), (1, 1, 0, 0, 1, "zz", "abc"), (1, 2, 0, 0, 1, "bc", "abcd")]
+    matched = spark.createDataFrame(rows, "qid int, ctx_pos int, teacher_ord int, quote_ord int, section int, quote string, text string")
+    spans = V.quote_spans(matched)
+    assert spans._jdf.queryExecution().executedPlan().toString().count("EvalPython [") == 1
+    got = {(r["ctx_pos"], r["start"], r["end"] - r["start"]) for r in spans.collect()}
+    assert got == {(i, *by_table(text, quote)) for i, (quote, text) in enumerate([r[5:] for r in rows]) if i != 1}
